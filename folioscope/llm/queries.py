@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid
+from . import langid, toxicity
 from .common import table
 
 
@@ -13,5 +13,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
-QUERIES = {"op8_language_id": op8_language_id}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op8_language_id": op8_language_id, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
