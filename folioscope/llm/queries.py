@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, toxicity
+from . import langid, simhash, toxicity
 from .common import table
 
 
@@ -18,5 +18,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op8_language_id": op8_language_id, "op10_toxicity": op10_toxicity}
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op8_language_id": op8_language_id, "op10_toxicity": op10_toxicity, "op5_simhash_near_dedup": op5_simhash_near_dedup}
 ORACLE_SQL: dict[str, str] = {}
