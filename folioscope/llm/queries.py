@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, simhash, toxicity
+from . import langid, mixing, simhash, toxicity
 from .common import table
 
 
@@ -22,5 +22,14 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_language_id": op8_language_id, "op10_toxicity": op10_toxicity, "op5_simhash_near_dedup": op5_simhash_near_dedup}
-ORACLE_SQL: dict[str, str] = {}
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.choose(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op8_language_id": op8_language_id,
+    "op10_toxicity": op10_toxicity,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op4_source_mixing": op4_source_mixing,
+}
+ORACLE_SQL: dict[str, str] = {"op4_source_mixing": mixing.oracle_sql()}
