@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, simhash, toxicity
+from . import bpe, langid, mixing, simhash, toxicity
 from .common import table
 
 
@@ -26,10 +26,16 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.choose(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs)
+
+
 QUERIES = {
     "op8_language_id": op8_language_id,
     "op10_toxicity": op10_toxicity,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op4_source_mixing": op4_source_mixing,
+    "op6_bpe_round_trip": op6_bpe_round_trip,
 }
 ORACLE_SQL: dict[str, str] = {"op4_source_mixing": mixing.oracle_sql()}
