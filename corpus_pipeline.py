@@ -1,10 +1,57 @@
-"""From raw documents to token sequences: filtered, deduplicated, mixed and encoded."""
+"""From raw documents to token sequences: filtered, deduplicated, mixed and encoded.
+
+Each stage takes (spark, docs, sf_dir), works on everything that its predecessor kept and applies its decisions. All
+but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from folioscope.llm import bpe, langid, mixing, simhash, toxicity
+from folioscope.llm.common import durable, table
+
+#: Trained classifiers, coordinate keys and a tokenizer vocabulary have no counterpart in SQL.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without language, or surely in another than they declare, go (operator 8)."""
+    return langid.reject(docs, langid.train(docs))
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the threshold go (operator 10)."""
+    return toxicity.reject(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (operator 5)."""
+    return simhash.deduplicate(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks of documents by the sources' target weights (operator 4)."""
+    return mixing.mix(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences instead of texts (operator 6)."""
+    return bpe.encode(docs)
+
+
+STAGES = [
+    ("language ID", language),
+    ("toxicity", toxic),
+    ("SimHash near-dedup", near_copies),
+    ("source mixing", mixture),
+    ("BPE encoding", encoded),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what one stage keeps is written before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
