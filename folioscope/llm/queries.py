@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, simhash, toxicity
+from . import bpe, langid, licenses, mixing, simhash, toxicity
 from .common import table
 
 
@@ -31,11 +31,16 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op8_language_id": op8_language_id,
     "op10_toxicity": op10_toxicity,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op4_source_mixing": op4_source_mixing,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op3_license_scan": op3_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {"op4_source_mixing": mixing.oracle_sql()}
