@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, mixing, simhash, toxicity
+from . import bpe, langid, licenses, lm, mixing, simhash, toxicity
 from .common import table
 
 
@@ -35,6 +35,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs))
+
+
 QUERIES = {
     "op8_language_id": op8_language_id,
     "op10_toxicity": op10_toxicity,
@@ -42,5 +47,6 @@ QUERIES = {
     "op4_source_mixing": op4_source_mixing,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op3_license_scan": op3_license_scan,
+    "op7_lm_scores": op7_lm_scores,
 }
 ORACLE_SQL: dict[str, str] = {"op4_source_mixing": mixing.oracle_sql()}
