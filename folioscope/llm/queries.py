@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, lm, mixing, simhash, toxicity
+from . import bpe, langid, licenses, lm, mixing, sharding, simhash, toxicity
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, lm.train(docs))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op8_language_id": op8_language_id,
     "op10_toxicity": op10_toxicity,
@@ -48,5 +52,6 @@ QUERIES = {
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op3_license_scan": op3_license_scan,
     "op7_lm_scores": op7_lm_scores,
+    "op9_sharding": op9_sharding,
 }
 ORACLE_SQL: dict[str, str] = {"op4_source_mixing": mixing.oracle_sql()}
