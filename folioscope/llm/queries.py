@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, lm, mixing, sharding, simhash, toxicity
+from . import bpe, covertree, langid, licenses, lm, mixing, sharding, simhash, toxicity
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.pairs(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op8_language_id": op8_language_id,
     "op10_toxicity": op10_toxicity,
@@ -53,5 +57,9 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op7_lm_scores": op7_lm_scores,
     "op9_sharding": op9_sharding,
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_source_mixing": mixing.oracle_sql(),
+    "op1_embedding_near_dedup": covertree.oracle_sql(),
 }
-ORACLE_SQL: dict[str, str] = {"op4_source_mixing": mixing.oracle_sql()}
