@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, covertree, langid, licenses, lm, mixing, sharding, simhash, toxicity
+from . import bpe, covertree, langid, licenses, lm, mixing, neighbours, sharding, simhash, toxicity
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.pairs(table(spark, sf_dir, "embeddings"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op8_language_id": op8_language_id,
     "op10_toxicity": op10_toxicity,
@@ -58,6 +62,7 @@ QUERIES = {
     "op7_lm_scores": op7_lm_scores,
     "op9_sharding": op9_sharding,
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_source_mixing": mixing.oracle_sql(),
