@@ -1,6 +1,6 @@
-"""Every query of the layout engine with its SQL counterpart."""
+"""Registered layout queries and their SQL."""
 
-from __future__ import annotations
+from .layout_queries import QUERIES
+from .layout_sql import ORACLE_SQL
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
