@@ -31,7 +31,7 @@ from . import textkit
 
 #: Path of the vocabulary: a public file of ranks, token by token in base64.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-REMEMBER = 500_000
+REMEMBER = 200_000
 _CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 
@@ -160,7 +160,7 @@ class Vocabulary:
                     a = self.split[a][1]
                     if a == limit:
                         break
-        if len(self.valid) > 4_000_000:
+        if len(self.valid) > 1_000_000:
             self.valid.clear()
         self.valid[left, right] = out
         return out
@@ -300,7 +300,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, keep_text: bool = False) ->
     return source.mapInArrow(batches, schema)
 
 
-def _slices(batch: pa.RecordBatch, limit: int = 8_000_000) -> Iterator[tuple[int, pa.RecordBatch]]:
+def _slices(batch: pa.RecordBatch, limit: int = 1_000_000) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Parts of a batch with about ``limit`` bytes of text, so that a worker's memory is bounded by its longest text."""
     for at, part in textkit.chunks(batch.column(batch.num_columns - 1), limit):
         yield at, batch.slice(at, len(part))
