@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,6 +24,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more, once their result is durable."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:
     """At most ``rows`` rows, those with the lowest seeded hashes of ``key``: the same rows in any partitioning.
 

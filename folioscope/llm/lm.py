@@ -138,6 +138,7 @@ class Model:
 def train(docs: DataFrame) -> Model:
     """The filter of all n-grams of docs; what it holds grows with the corpus."""
     counts = common.durable(count(docs))
+    common.release(counts)
     q = F.least(F.lit(LEVELS), F.lit(1) + F.ceil(F.log(F.col("n")) / math.log(BASE) - 1e-9))
     uni = F.col("gram").bitwiseAND(1) == 0
     total = counts.agg(F.sum(q), F.sum(F.when(uni, F.col("n"))), F.count(F.when(uni, 1))).first()
