@@ -3,20 +3,23 @@
 A document's fingerprint has 128 bits: signs of the summed hash bits of its word pairs. Documents are near copies when
 their fingerprints differ in at most ``RADIUS`` bits and their word counts by at most a fifth.
 
-The pivot table holds each fingerprint's Hamming distances to reference fingerprints. Two kinds of reference serve:
+The search is lossless at every size: each pair within ``RADIUS`` is found. The 128 bits are dealt at random to a few
+parts, and each part gets a radius, so that the radii plus one add up to ``RADIUS`` + 1: two fingerprints within
+``RADIUS`` are within its radius r in at least one part. In a part, every bit has a vector of r + 1 bits, and there is a
+key for each nonzero vector v: the bits whose vectors have an odd product with v. The vectors of r differing bits leave
+some v orthogonal to all of them, and the key of that v holds none of the differing bits (Pagh, 2016). With more
+fingerprints the parts get fewer, the keys longer and more; candidates are the pairs that share a key.
 
-* ``PIVOTS`` random references. By the triangle inequality two fingerprints whose distances to any one of them differ
-  by more than ``RADIUS`` can't be near copies, so a pair with a larger maximum coordinate difference is discarded
-  before its own distance is computed.
-* an origin and its 128 neighbours at distance one. A fingerprint's distance to a neighbour exceeds its distance to the
-  origin by +1 or -1, so these coordinates spell the fingerprint relative to the origin, and a seeded choice of them is
-  a key. At a radius this large no equi-join on distances is lossless (two unrelated fingerprints differ by about 64
-  bits, their distances to a pivot by less than 8), so candidates are the pairs that agree on all chosen coordinates
-  in at least one of several tables. Key length grows with log2 of the corpus and the number of tables is set so that a
-  pair at the design distance is found with probability ``RECALL``.
+The pivot distance tables only thin out candidates: by the triangle inequality two fingerprints whose distances to a
+pivot differ by more than ``RADIUS`` can't be near copies. They can't make candidates, as unrelated fingerprints differ
+by about 64 bits, but their distances to a pivot by 8 in standard deviation, within ``RADIUS`` almost always.
 
-Within a key, every pair is compared, however many fingerprints share it; only a spanning forest of the near pairs is
-passed on, which keeps what is connected and stays linear for groups of thousands.
+Each fingerprint is sent once for a set of keys, not for every key. Beyond ``CELL`` fingerprints a set holds keys with
+common bits, whose values part the fingerprints into cells that are compared apart.
+
+Within a key, pairs are compared in the order of their word counts, as far as these are within a fifth. Of keys that
+more than ``CROWD`` share, only a spanning forest of the near pairs is passed on, which keeps what is connected and
+stays linear for groups of thousands.
 
 Defined results: null texts and texts without a word have no fingerprint and are never grouped; a text of one word is
 fingerprinted by it; identical fingerprints are joined at once; repeated rows with one doc_id are one document; the
@@ -35,10 +38,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common, textkit
 
-BITS, RADIUS, DESIGN, RECALL, PIVOTS, SEED = 128, 26, 21, 0.95, 64, 20260
+BITS, RADIUS, PIVOTS, SEED = 128, 26, 4, 20260
+CELL, SETS, CROWD = 1 << 20, 32, 64
+_RANK_BITS = 24
 MIN_LENGTH_RATIO = 0.8
 _COUNT_BITS = 24
-_POPCOUNT = np.array([bin(k).count("1") for k in range(1 << 16)], np.uint8)
 
 
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +82,7 @@ def _grouped(bits: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = (a ^ b).view(np.uint16).reshape(*np.broadcast_shapes(a.shape, b.shape)[:-1], BITS // 16)
-    return _POPCOUNT[x].sum(axis=-1, dtype=np.int32)
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
 def references(seed: int = SEED) -> np.ndarray:
@@ -97,29 +100,66 @@ def pivot_table(prints: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def near_pairs(prints: np.ndarray, words: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which of the pairs (i, j) are near copies: coordinates first, distances for the survivors."""
     alive = np.ones(len(i), bool)
-    for low in range(0, table.shape[1], 16):
-        at = np.flatnonzero(alive)
-        gap = np.abs(table[i[at], low : low + 16] - table[j[at], low : low + 16]).max(axis=1)
-        alive[at] = gap <= RADIUS
+    for column in table.T:
+        alive &= np.abs(column[i] - column[j]) <= RADIUS
     at = np.flatnonzero(alive)
-    small, large = np.minimum(words[i[at]], words[j[at]]), np.maximum(words[i[at]], words[j[at]])
-    alive[at] = (hamming(prints[i[at]], prints[j[at]]) <= RADIUS) & (small >= MIN_LENGTH_RATIO * large)
+    left, right = i[at], j[at]
+    small, large = np.minimum(words[left], words[right]), np.maximum(words[left], words[right])
+    alive[at] = (hamming(prints[left], prints[right]) <= RADIUS) & (small >= MIN_LENGTH_RATIO * large)
     return alive
 
 
-def plan(n: int) -> tuple[int, int]:
-    """(coordinates per key, tables) for n fingerprints."""
-    length = max(6, math.ceil(math.log2(max(n, 2))) - 2)
-    hit = (1 - DESIGN / BITS) ** length
-    return length, math.ceil(math.log(1 - RECALL) / math.log(1 - hit))
+def radii(parts: int, radius: int = RADIUS) -> list[int]:
+    """The parts' radii: of two fingerprints within radius, one part at least differs in no more bits than its own."""
+    return [(radius + 1 + k) // parts - 1 for k in range(parts)]
+
+
+def plan(n: int) -> int:
+    """Parts for n fingerprints: those of the least work, one unit for each key and 1/8 for each candidate pair."""
 
+    def work(parts: int) -> float:
+        return sum((2.0 ** (r + 1) - 1) * (n + n * n / 2 / 2 ** (BITS / parts / 2) / 8) for r in radii(parts))
 
-def key_masks(length: int, tables: int, seed: int = SEED) -> np.ndarray:
+    return min(range(2, RADIUS // 2), key=work)
+
+
+def key_masks(parts: int, seed: int = SEED) -> list[np.ndarray]:
+    """For each part, the (keys, 2) masks of its keys."""
     rng = np.random.default_rng(seed + 2)
-    out = np.zeros((tables, BITS), np.uint8)
-    for row in out:
-        row[rng.choice(BITS, length, replace=False)] = 1
-    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+    out = []
+    for bits, r in zip(np.array_split(rng.permutation(BITS), parts), radii(parts), strict=True):
+        # Vectors are dealt out evenly; any choice of them is lossless, an even one has keys of like length.
+        every = np.concatenate([rng.permutation(np.arange(1, 1 << (r + 1))) for _ in range(len(bits) // ((1 << (r + 1)) - 1) + 1)])
+        odd = np.bitwise_count(np.arange(1, 1 << (r + 1))[:, None] & every[None, : len(bits)]) % 2
+        rows = np.zeros((len(odd), BITS), np.uint8)
+        rows[:, bits] = odd
+        out.append(np.packbits(rows, axis=1, bitorder="little").view(np.uint64))
+    return out
+
+
+def key_sets(parts: list[np.ndarray], common: int, at_least: int = SETS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(masks, prefix): the keys in sets, those of a set with the same ``common`` bits or more, which are the prefix.
+
+    A key of fewer bits is a set of its own, with all its bits as prefix.
+    """
+    out = []
+    most = math.ceil(sum(map(len, parts)) / at_least)
+    for masks in parts:
+        left = list(range(len(masks)))
+        while left:
+            chosen, prefix, rest = [left[0]], masks[left[0]], []
+            for k in left[1:]:
+                if len(chosen) < most and int(np.bitwise_count(prefix & masks[k]).sum()) >= common:
+                    chosen.append(k)
+                    prefix = prefix & masks[k]
+                else:
+                    rest.append(k)
+            left = rest
+            held = np.flatnonzero(np.unpackbits(prefix.view(np.uint8), bitorder="little"))[:common]
+            bits = np.zeros(BITS, np.uint8)
+            bits[held] = 1
+            out.append((masks[chosen], np.packbits(bits, bitorder="little").view(np.uint64)))
+    return out
 
 
 def _forest(member: np.ndarray, prints: np.ndarray, words: np.ndarray, table: np.ndarray) -> list[tuple[int, int]]:
@@ -135,28 +175,34 @@ def _forest(member: np.ndarray, prints: np.ndarray, words: np.ndarray, table: np
     return edges
 
 
-def group_edges(key: np.ndarray, ids: np.ndarray, prints: np.ndarray, words: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Edges (id, id) of near pairs among rows sorted by key."""
-    starts = np.flatnonzero(np.diff(key, prepend=key[:1] - np.int64(1)))
-    sizes = np.diff(np.append(starts, len(key)))
-    shared = np.flatnonzero(np.repeat(sizes, sizes) > 1)
-    if not len(shared):
-        return np.zeros((0, 2), np.int64)
-    key, ids, prints, words = key[shared], ids[shared], prints[shared], words[shared]
-    table = pivot_table(prints, pivots)
-    starts = np.flatnonzero(np.diff(key, prepend=key[:1] - np.int64(1)))
-    sizes = np.diff(np.append(starts, len(key)))
-    found: list[np.ndarray] = []
-    small = np.repeat(sizes <= 8, sizes)
-    for lag in range(1, 8):
-        i = np.flatnonzero((key[:-lag] == key[lag:]) & small[:-lag])
-        if len(i):
-            ok = near_pairs(prints, words, table, i, i + lag)
-            found.append(np.stack([i[ok], i[ok] + lag], axis=1))
-    for start, size in zip(starts[sizes > 8], sizes[sizes > 8], strict=True):
-        found.append(np.array(_forest(np.arange(start, start + size), prints, words, table), np.int64).reshape(-1, 2))
-    at = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return ids[at]
+def cell_edges(prints: np.ndarray, words: np.ndarray, masks: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Pairs (i, j) of near fingerprints that share the bits of one of the masks: all, or a forest of them in a crowd."""
+    order = np.argsort(words, kind="stable")
+    prints, words = np.ascontiguousarray(prints[order]), words[order]
+    table, rank = pivot_table(prints, pivots), np.arange(len(order), dtype=np.uint64)
+    low = np.uint64((1 << _RANK_BITS) - 1)
+    # Of fingerprints in the order of their words, the first that is too long for a pair with k.
+    reach = np.searchsorted(words, words / MIN_LENGTH_RATIO * (1 + 1e-9), "right")
+    found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+    for mask in masks:
+        # Sorted by key, then words. Keys are hashed to 40 bits: those that collide only add candidates.
+        rows = np.sort(textkit.mix(textkit.mix(prints[:, 0] & mask[0]) + (prints[:, 1] & mask[1])) & ~low | rank)
+        key, at = rows >> np.uint64(_RANK_BITS), (rows & low).astype(np.int64)
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        ends = np.append(starts[1:], len(key))
+        large = ends - starts > CROWD
+        end = np.repeat(np.where(large, starts, ends), ends - starts)
+        far, i, lag = reach[at], np.arange(len(key)), 1
+        while len(i := i[i + lag < end[i]]) and len(i := i[at[i + lag] < far[i]]):
+            a, b = at[i], at[i + lag]
+            near = near_pairs(prints, words, table, a, b)
+            found.append(np.stack([a[near], b[near]], axis=1))
+            lag += 1
+        for k in np.flatnonzero(large):
+            found.append(np.array(_forest(at[starts[k] : ends[k]], prints, words, table), np.int64).reshape(-1, 2))
+        if sum(map(len, found)) > 2_000_000:
+            found = [np.unique(np.sort(np.concatenate(found), axis=1), axis=0)]
+    return order[np.unique(np.sort(np.concatenate(found), axis=1), axis=0)]
 
 
 def nodes(prints: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -194,51 +240,47 @@ def groups(docs: DataFrame) -> DataFrame:
             *(F.first(c).alias(c) for c in ("fa", "fb", "n")), F.min("doc_id").alias("rep"), F.count("*").alias("copies")
         )
     )
-    length, tables = plan(known.count())
-    masks, pivots = key_masks(length, tables), references()
-    salt = textkit.mix(np.arange(tables, dtype=np.uint64) + np.uint64(1))
-
-    def keyed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each table: the key, with the word count in its lowest bits, and the fingerprint."""
+    n = known.count()
+    masks, pivots = key_masks(plan(n)), references()
+    cells = math.ceil(math.log2(max(n / CELL, 1)))
+    sets = key_sets(masks, cells)
+    width = 1 << cells
+
+    def placed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each set of keys: the number of set and cell, and the fingerprint with its word count."""
         for batch in found:
-            fa, fb, n = (batch.column(k).to_numpy().view(np.uint64) for k in ("fa", "fb", "n"))
-            for low in range(0, batch.num_rows, 2000):
-                a, b, m = fa[low : low + 2000, None], fb[low : low + 2000, None], n[low : low + 2000, None]
-                keys = textkit.mix(textkit.mix((a & masks[:, 0]) ^ salt) + (b & masks[:, 1]))
-                keys = (keys >> np.uint64(_COUNT_BITS) << np.uint64(_COUNT_BITS)) | m
-                rows = [keys, np.broadcast_to(a, keys.shape), np.broadcast_to(b, keys.shape)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.ravel().view(np.int64)) for x in map(np.ascontiguousarray, rows)], names=["key", "fa", "fb"]
-                )
+            columns = [batch.column(k) for k in ("fa", "fb", "n")]
+            fa, fb = (c.to_numpy().view(np.uint64) for c in columns[:2])
+            for k, (_, prefix) in enumerate(sets):
+                cell = textkit.mix(textkit.mix(fa & prefix[0]) + (fb & prefix[1])) % np.uint64(width)
+                place = k * width + cell.view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(place), *columns], names=["place", "fa", "fb", "n"])
 
     def compared(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Near pairs within each key of a partition that is sorted by key; a key may go on in the next batch."""
-        rest = None
+        """Near pairs of each place of a partition that is sorted by place; a place may go on in the next batches."""
+        held: list[np.ndarray] = []
         for batch in found:
-            rows = np.stack([batch.column(k).to_numpy() for k in ("key", "fa", "fb")], axis=1)
-            rows = rows if rest is None else np.concatenate([rest, rows])
-            marks = rows[:, 0] >> _COUNT_BITS
-            cut = int(np.searchsorted(marks, marks[-1])) if len(marks) else 0
-            rest = rows[cut:]
-            if cut:
-                yield _edges(rows[:cut], pivots)
-        if rest is not None and len(rest):
-            yield _edges(rest, pivots)
-
-    keys = known.select("fa", "fb", "n").mapInArrow(keyed, "key long, fa long, fb long")
-    place = F.shiftright("key", _COUNT_BITS)
-    near = keys.repartition(place).sortWithinPartitions("key").mapInArrow(compared, "a long, b long")
+            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+            for part in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1):
+                if held and len(part) and held[0][0, 0] != part[0, 0]:
+                    yield _edges(np.concatenate(held), sets[held[0][0, 0] // width][0], pivots)
+                    held = []
+                if len(part):
+                    held.append(part)
+        if held:
+            yield _edges(np.concatenate(held), sets[held[0][0, 0] // width][0], pivots)
+
+    places = known.select("fa", "fb", "n").mapInArrow(placed, "place long, fa long, fb long, n long")
+    near = places.repartition(2 * len(sets) * width, "place").sortWithinPartitions("place").mapInArrow(compared, "a long, b long")
     roots = common.components(near)
     linked = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = linked.groupBy("root").agg(F.min("rep").alias("keep_id"), F.sum("copies").alias("size")).where("size > 1")
     return prints.join(linked.join(kept, "root").select("node", "keep_id"), "node").select("doc_id", "keep_id")
 
 
-def _edges(rows: np.ndarray, pivots: np.ndarray) -> pa.RecordBatch:
-    prints = np.ascontiguousarray(rows[:, 1:]).view(np.uint64)
-    words = rows[:, 0] & ((1 << _COUNT_BITS) - 1)
-    out = group_edges(rows[:, 0] >> _COUNT_BITS, nodes(prints, words), prints, words, pivots)
-    out = np.unique(np.sort(out, axis=1), axis=0) if len(out) else out
+def _edges(rows: np.ndarray, masks: np.ndarray, pivots: np.ndarray) -> pa.RecordBatch:
+    prints, words = np.ascontiguousarray(rows[:, 1:3]).view(np.uint64), rows[:, 3]
+    out = nodes(prints, words)[cell_edges(prints, words, masks, pivots)]
     return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
 
