@@ -1,14 +1,19 @@
 """Sharding by balanced label propagation.
 
-Documents are linked by the passages that they share: lines of at least ``MIN_CHARS`` characters, the same but for case
-and outer blanks. A passage in s documents links each two of them with weight 1 / (s - 1), so a document has the same
-total pull from each of its passages, however common. Links are never listed as pairs: labels are counted by passage and
-the counts joined back, which is linear in the lines.
+Documents are linked by the passages that they share, of two kinds: lines of at least ``MIN_CHARS`` characters, the same
+but for case and outer blanks, and winnowed shingles of ``SHINGLE`` words at any place. Of each ``WINDOW`` shingles in a
+row that with the least hash is taken, so a run of ``SHINGLE + WINDOW - 1`` words that two documents share, wherever it
+stands in them, gives at least one link. A passage in s documents links each two of them with weight 1 / (s - 1), so a
+document has the same total pull from each of its passages, however common. Passages of the very same documents are
+counted as one with their number as weight. Links are never listed as pairs: labels are counted by passage and the
+counts joined back, which is linear in the passages.
 
 Start: documents in the order of their least passage are cut into shards of equal size. Then, in each round, half of
 the documents (by a seeded hash, so that two linked ones don't just change places) ask to move to the shard that pulls
 most. For two shards, as many moves are granted in one direction as in the other, those with the highest gains; room
-below the capacity is shared out over the rest. No shard ever exceeds its capacity.
+below the capacity is shared out over the rest. No shard ever exceeds its capacity. Rounds go on until both halves in
+turn were granted no move, or until ``STALE`` such turns in a row lowered the cut no more (linked documents may change
+places for ever); the labels of the least cut are kept.
 
 Defined results: one row for each doc_id, of repeated rows too (their lines are united); documents without a shared
 passage (null and empty texts among them) only fill up; rows with a null doc_id get no shard; ties go to the lower
@@ -19,27 +24,78 @@ documents than shards some shards are empty.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from . import common
+from . import common, textkit
 
-SHARDS, ROUNDS, SLACK, MIN_CHARS, SEED = 16, 5, 0.05, 30, 3
+SHARDS, ROUNDS, SLACK, MIN_CHARS, SEED = 16, None, 0.05, 30, 3
+SHINGLE, WINDOW, STALE = 6, 7, 2
+
+
+def winnowed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(text numbers, hashes) of the shingles taken, each once for a text; of short texts all."""
+    out = [np.zeros((2, 0), np.uint64)]
+    for at, part in textkit.chunks(texts):
+        w = textkit.words(part)
+        n = len(w.hash) - SHINGLE + 1
+        if n < 1:
+            continue
+        marks = np.zeros(n, np.uint64)
+        for k in range(SHINGLE):
+            marks = marks * np.uint64(0x9E3779B97F4A7C15) + w.hash[k : k + n]
+        marks, doc = textkit.mix(marks), w.doc[:n]
+        inside = doc == w.doc[SHINGLE - 1 :]
+        taken = inside & (np.diff(w.bounds)[doc] < SHINGLE + WINDOW - 1)
+        if n >= WINDOW:
+            whole = np.flatnonzero(w.doc[: n - WINDOW + 1] == w.doc[SHINGLE + WINDOW - 2 :])
+            taken[whole + np.lib.stride_tricks.sliding_window_view(marks, WINDOW)[whole].argmin(axis=1)] = True
+        doc, marks = doc[taken], marks[taken]
+        order = np.lexsort((marks, doc))
+        doc, marks = doc[order], marks[order]
+        first = np.append(True, (doc[1:] != doc[:-1]) | (marks[1:] != marks[:-1]))[: len(doc)]
+        out.append(np.stack([(doc[first] + at).astype(np.uint64), marks[first]]))
+    found = np.concatenate(out, axis=1)
+    return found[0].astype(np.int64), found[1]
+
+
+def _shingles(docs: DataFrame) -> DataFrame:
+    """(doc_id, passage) of the winnowed shingles."""
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            doc, marks = winnowed(batch.column("text"))
+            ids = batch.column("doc_id").take(pa.array(doc))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(marks.view(np.int64))], names=["doc_id", "passage"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "doc_id long, passage long")
 
 
 def links(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, passage, size) of the passages that two documents or more share."""
+    """(doc_id, passage, size, weight) of the passages that two documents or more share.
+
+    Of passages with the same documents the least stands for all; weight is their number.
+    """
     lines = F.split(F.lower("text"), "\n")
     long = F.filter(lines, lambda x: F.length(x) >= min_chars)
-    pairs = (
-        docs.where("doc_id is not null and text is not null")
-        .select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(long)).alias("line"))
-        .select("doc_id", F.xxhash64(F.trim("line")).alias("passage"))
-        .distinct()
+    known = docs.where("doc_id is not null and text is not null")
+    whole = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(long)).alias("line")).select(
+        "doc_id", F.xxhash64(F.trim("line")).alias("passage")
+    )
+    pairs = _shingles(known).union(whole).repartition("passage").distinct()
+    by = W.partitionBy("passage")
+    shared = pairs.select(
+        "doc_id",
+        "passage",
+        F.count("*").over(by).alias("size"),
+        *(F.expr(f"bit_xor(xxhash64({salt}, doc_id))").over(by).alias(f"x{salt}") for salt in (1, 2)),
+    ).where("size > 1")
+    return shared.groupBy("doc_id", "size", "x1", "x2").agg(F.min("passage").alias("passage"), F.count("*").alias("weight")).select(
+        "doc_id", "passage", "size", "weight"
     )
-    pairs = common.durable(pairs)
-    shared = pairs.groupBy("passage").agg(F.count("*").alias("size")).where("size > 1")
-    return pairs.join(shared, "passage").select("doc_id", "passage", "size")
 
 
 def _start(ids: DataFrame, edges: DataFrame, shards: int, n: int, seed: int) -> DataFrame:
@@ -72,7 +128,7 @@ def wishes(edges: DataFrame, labels: DataFrame) -> DataFrame:
             "doc_id",
             "shard",
             "k",
-            ((F.col("n") - (F.col("k") == F.col("shard")).cast("int")) / (F.col("size") - 1)).alias("pull"),
+            (F.col("weight") * (F.col("n") - (F.col("k") == F.col("shard")).cast("int")) / (F.col("size") - 1)).alias("pull"),
         )
         .groupBy("doc_id", "shard", "k")
         .agg(F.sum("pull").alias("pull"))
@@ -106,9 +162,12 @@ def _granted(asked: DataFrame, labels: DataFrame, shards: int, capacity: int) ->
 
 
 def assign(
-    docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK, min_chars: int = MIN_CHARS, seed: int = SEED
+    docs: DataFrame, shards: int = SHARDS, rounds: int | None = ROUNDS, slack: float = SLACK, min_chars: int = MIN_CHARS, seed: int = SEED
 ) -> DataFrame:
-    """(doc_id, shard) of every document; no shard has more than (1 + slack) n / shards documents, rounded up."""
+    """(doc_id, shard) of every document; no shard has more than (1 + slack) n / shards documents, rounded up.
+
+    ``rounds`` bounds the rounds; None goes on to the end.
+    """
     edges = common.durable(links(docs, min_chars))
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     n = ids.count()
@@ -116,21 +175,31 @@ def assign(
         return ids.select("doc_id", F.lit(0).alias("shard"))
     capacity = math.ceil(n * (1 + slack) / shards)
     labels = common.durable(_start(ids, edges, shards, n, seed))
-    for k in range(rounds):
-        turn = F.pmod(F.xxhash64(F.lit(seed + k), "doc_id"), F.lit(2)) == 0
+    best, least, stale, granted, k = labels, cut(edges, labels)[0], 0, False, 0
+    while rounds is None or k < rounds:
+        turn = F.pmod(F.xxhash64(F.lit(seed + k // 2), "doc_id"), F.lit(2)) == k % 2
         moves = common.durable(_granted(wishes(edges, labels).where(turn), labels, shards, capacity))
-        if moves.isEmpty():
-            continue
-        labels = common.durable(
-            labels.join(moves, "doc_id", "left").select("doc_id", F.coalesce("to", "shard").alias("shard"))
-        )
-    return labels
+        if not moves.isEmpty():
+            granted = True
+            labels = common.durable(
+                labels.join(moves, "doc_id", "left").select("doc_id", F.coalesce("to", "shard").alias("shard"))
+            )
+        k += 1
+        if k % 2 == 0 or k == rounds:
+            now = cut(edges, labels)[0] if granted else least
+            stale = 0 if now < least - 1e-6 else stale + 1
+            if now < least:
+                best, least = labels, now
+            if not granted or stale == STALE:
+                break
+            granted = False
+    return best
 
 
 def cut(edges: DataFrame, labels: DataFrame) -> tuple[float, float]:
     """(weight of links between shards, weight of all links)."""
-    n = edges.join(labels, "doc_id").groupBy("passage", "size", "shard").agg(F.count("*").alias("n"))
-    inner = n.groupBy("passage", "size").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("kept"))
+    n = edges.join(labels, "doc_id").groupBy("passage", "size", "weight", "shard").agg(F.count("*").alias("n"))
+    inner = n.groupBy("passage", "size", "weight").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("kept"))
     every = F.col("size") / 2
-    row = inner.agg(F.sum(every - F.col("kept") / (F.col("size") - 1)), F.sum(every)).first()
+    row = inner.agg(F.sum(F.col("weight") * (every - F.col("kept") / (F.col("size") - 1))), F.sum(F.col("weight") * every)).first()
     return float(row[0] or 0), float(row[1] or 0)

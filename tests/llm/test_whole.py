@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from folioscope.llm import simhash
+from folioscope.llm import sharding, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -68,3 +68,24 @@ def test_cells_lose_no_near_pair(spark, docs, monkeypatch):
     whole = sorted(map(tuple, simhash.duplicates(some).collect()))
     monkeypatch.setattr(simhash, "CELL", 100)
     assert whole and sorted(map(tuple, simhash.duplicates(some).collect())) == whole
+
+
+def test_shared_runs_within_lines_link(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows, wanted = [], set()
+    for k in range(40):
+        run, copy = word(12), word(60)
+        rows += [(4 * k, " ".join(word(k) + run + word(9))), (4 * k + 1, " ".join(word(5) + run + word(2 * k)))]
+        near = [f"x{k}" if at % 15 == 7 else x for at, x in enumerate(copy)]
+        rows += [(4 * k + 2, " ".join(copy)), (4 * k + 3, " ".join(near))]
+        wanted |= {(4 * k, 4 * k + 1), (4 * k + 2, 4 * k + 3)}
+    rows += [(1000, "the very same line of four"), (1001, "no word\nAbcdefghijklmnop qrstuvwxyzabcdef"), (1002, "abcdefghijklmnop qrstuvwxyzabcdef ")]
+    wanted.add((1001, 1002))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {}
+    for r in sharding.links(table).collect():
+        held.setdefault(r.passage, set()).add(r.doc_id)
+    assert {tuple(sorted(x)) for x in held.values()} == wanted
+    shard = {r.doc_id: r.shard for r in sharding.assign(table, shards=4).collect()}
+    assert sum(shard[a] == shard[b] for a, b in wanted) >= 0.95 * len(wanted)
