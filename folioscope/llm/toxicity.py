@@ -2,8 +2,9 @@
 
 A lexicon holds whole terms and stems (a stem matches every word that it begins). Each distinct word of a text is read
 as a Levenshtein automaton, simulated by one bit mask per number of errors, and intersected with the trie of the
-lexicon: a branch is left as soon as no state is alive, so a word costs a few trie nodes. A hit then gets the weight of
-its window: quotation marks around it, or a reporting verb shortly before, mark a mention rather than an insult.
+lexicon: a branch is left as soon as no state is alive, so a word costs a few trie nodes. A misspelled term weighs as
+much as the term itself and reaches the threshold alone; clean words near a term are spared by a list (LOOKALIKES and
+the words of clean labelled texts), not by weight. A hit then gets the weight of its window: quotation marks around it, or a reporting verb shortly before, mark a mention rather than an insult.
 
 Terms beyond the given ones are learnt from labelled rows: words and stems that stand in many different contexts of
 toxic texts and in no clean one.
@@ -32,7 +33,7 @@ LEARN_TOXIC, LEARN_CLEAN = 2000, 6000
 MIN_CONTEXTS = 12
 WINDOW = 6
 THRESHOLD = 1.0
-EXACT, FUZZY, QUOTED = 1.0, 0.6, 0.2
+EXACT, FUZZY, QUOTED = 1.0, 1.0, 0.2
 REPORTING = frozenset(
     "said says quoted quote wrote called calls term word phrase named dit dijo sagte zitat cita citation palabra mot wort".split()
 )
@@ -42,7 +43,11 @@ _OPEN, _CLOSE = '"“«„‘‚', '"”»“’'
 
 
 #: Everyday words one error away from a given term.
-LOOKALIKES = frozenset("lose loses lower lover laser loner poser closer crown brown moon moons mormon crash brash thrash scam slum".split())
+LOOKALIKES = frozenset((
+        "lose loses loosen lower lover laser loner poser closer crown brown blown flown moon moons mormon boron moran maron crash brash thrash scam slum "
+        "losen loper hoser doser oser leser gloser morn rash apathetic idiom discussing digesting disrupting mirthless worthies worthiness"
+    ).split()
+)
 
 
 def allowed_errors(term: str) -> int:

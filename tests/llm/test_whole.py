@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from folioscope.llm import sharding, simhash
+from folioscope.llm import sharding, simhash, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -89,3 +89,11 @@ def test_shared_runs_within_lines_link(spark):
     assert {tuple(sorted(x)) for x in held.values()} == wanted
     shard = {r.doc_id: r.shard for r in sharding.assign(table, shards=4).collect()}
     assert sum(shard[a] == shard[b] for a, b in wanted) >= 0.95 * len(wanted)
+
+
+def test_one_misspelled_term_is_enough(spark):
+    rows = [(1, "you are an idiott"), (2, "you are an 1d10t"), (3, "you are an idiooot"), (4, "you are an idiom"), (5, 'the word "idiott" is misspelled')]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = toxicity.Lexicon(list(toxicity.SEEDS))
+    assert sorted(r.doc_id for r in toxicity.score(table, lexicon).collect()) == [1, 2, 3]
+    assert sorted(r.doc_id for r in toxicity.reject(table, lexicon).collect()) == [4, 5]
