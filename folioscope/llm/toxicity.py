@@ -66,14 +66,16 @@ class Lexicon:
             for c in term.rstrip("*"):
                 node = node.setdefault(c, {})
             node["*" if term.endswith("*") else ""] = term
-        self.spared |= {w for w in clean if (m := self.match(w)) and m[1]}
+        self.begins = frozenset(w[:-1] for w in clean if w.endswith("*"))
+        self.spared |= {w for w in clean if not w.endswith("*") and (m := self.match(w)) and m[1]}
 
     def match(self, word: str) -> tuple[str, int] | None:
         """(term, errors) of the best term for word, or None.
 
-        One error (insertion, deletion, substitution) is allowed in terms of five letters and more, two in terms of
-        nine and more, never in the first letter, and none in words known from clean text; digits that stand for letters and letters repeated three times or
-        more are put right beforehand, at no cost but counted as an error. Stems match without errors only.
+        One error (insertion, deletion, substitution, two letters exchanged) is allowed in terms of five letters and
+        more, two in terms of nine and more, in any letter, and none in words known from clean text; digits that stand for letters and letters repeated three times or
+        more are put right beforehand, at no cost but counted as an error. A misspelled stem matches where some beginning of the word is near enough to it, but not
+        in words that begin as words of clean text do.
         """
         plain = word
         if len(word) >= 4:
@@ -86,11 +88,8 @@ class Lexicon:
         return found
 
     def _walk(self, word: str) -> tuple[str, int] | None:
-        first = self.root.get(word[:1])
-        if first is None:
-            return None
-        node: dict | None = first
-        for c in word[1:]:
+        node: dict | None = self.root
+        for c in word:
             if "*" in node:
                 return node["*"], 0
             node = node.get(c)
@@ -109,25 +108,30 @@ class Lexicon:
             masks[c] |= 1 << k
         final = 1 << len(word)
         best: tuple[int, str] | None = None
-        stack = [(first, [(1 << (k + 2)) - 2 if k else 2 for k in range(errors + 1)])]
+        none = [0] * (errors + 1)
+        # A node, its states, those of its parent, and where its own letter stands in the word.
+        stack = [(self.root, [(1 << (k + 1)) - 1 for k in range(errors + 1)], none, 0)]
         while stack:
-            node, states = stack.pop()
+            node, states, parent, last = stack.pop()
             for c, child in node.items():
-                if c == "*":
-                    continue
-                if c == "":
+                if c == "*" or c == "":
                     for k, state in enumerate(states):
-                        if state & final:
-                            if k <= allowed_errors(child) and (best is None or (k, child) < best):
+                        if state if c else state & final:
+                            near = k <= allowed_errors(child.rstrip("*")) and (best is None or (k, child) < best)
+                            if near and not (c and word[: min(len(child) - 1, 7)] in self.begins):
                                 best = (k, child)
                             break
                     continue
                 hit = masks.get(c, 0)
                 row = [(states[0] & hit) << 1]
+                alive = row[0]
                 for k in range(1, errors + 1):
-                    row.append(((states[k] & hit) << 1) | states[k - 1] | ((states[k - 1] | row[k - 1]) << 1))
-                if any(row):
-                    stack.append((child, row))
+                    before = states[k - 1]
+                    now = ((states[k] & hit) << 1) | before | ((before | row[k - 1]) << 1) | ((parent[k - 1] & hit & (last >> 1)) << 2)
+                    row.append(now)
+                    alive |= now
+                if alive:
+                    stack.append((child, row, states, hit))
         return (best[1], best[0]) if best else None
 
 

@@ -97,3 +97,14 @@ def test_one_misspelled_term_is_enough(spark):
     lexicon = toxicity.Lexicon(list(toxicity.SEEDS))
     assert sorted(r.doc_id for r in toxicity.score(table, lexicon).collect()) == [1, 2, 3]
     assert sorted(r.doc_id for r in toxicity.reject(table, lexicon).collect()) == [4, 5]
+
+
+def test_errors_in_first_letters_and_in_stems():
+    lexicon = toxicity.Lexicon(["idiot", "stupid", "dummkopf*"])
+    for word, term in [("jdiot", "idiot"), ("xstupid", "stupid"), ("diiot", "idiot"), ("diot", "idiot"), ("sstupid", "stupid"), ("sutpid", "stupid")]:
+        assert lexicon.match(word) == (term, 1)
+    for word in ("dumkopfes", "bummkopf", "udmmkopfen", "dummkipfhaft"):
+        assert lexicon.match(word) == ("dummkopf*", 1)
+    assert [lexicon.match(w) for w in ("rapid", "idol", "dumm", "kopf", "dummheit")] == [None] * 5
+    assert toxicity.Lexicon(["dummkopf*"], {"dummkip*", "dumkopfes"}).match("dumkopfes") is None
+    assert toxicity.Lexicon(["dummkopf*"], {"dummkip*"}).match("dummkipfhaft") is None
