@@ -118,6 +118,12 @@ def _start(ids: DataFrame, edges: DataFrame, shards: int, n: int, seed: int) ->
     )
 
 
+def _settled(labels: DataFrame) -> DataFrame:
+    """labels, materialised, without the size estimate of its plan: checkpoints pass it on, and joins multiply it."""
+    labels, spark = common.durable(labels), labels.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(labels._jdf.toJavaRDD(), labels._jdf.schema()), spark)
+
+
 def wishes(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, shard, to, gain) of the linked documents that another shard pulls more than their own."""
     marked = edges.join(labels, "doc_id")
@@ -174,14 +180,14 @@ def assign(
     if not n:
         return ids.select("doc_id", F.lit(0).alias("shard"))
     capacity = math.ceil(n * (1 + slack) / shards)
-    labels = common.durable(_start(ids, edges, shards, n, seed))
+    labels = _settled(_start(ids, edges, shards, n, seed))
     best, least, stale, granted, k = labels, cut(edges, labels)[0], 0, False, 0
     while rounds is None or k < rounds:
         turn = F.pmod(F.xxhash64(F.lit(seed + k // 2), "doc_id"), F.lit(2)) == k % 2
         moves = common.durable(_granted(wishes(edges, labels).where(turn), labels, shards, capacity))
         if not moves.isEmpty():
             granted = True
-            labels = common.durable(
+            labels = _settled(
                 labels.join(moves, "doc_id", "left").select("doc_id", F.coalesce("to", "shard").alias("shard"))
             )
         k += 1
