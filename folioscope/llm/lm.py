@@ -3,19 +3,25 @@
 Counts of all word unigrams and bigrams of the corpus are quantised on a logarithmic scale (Talbot and Osborne, 2007):
 an n-gram with level q is put into a Bloom filter q times, as (n-gram, 1) .. (n-gram, q). A lookup probes (n-gram, 1),
 (n-gram, 2), .. until one is absent, so an n-gram is never held rarer than it is, and is held q levels more frequent
-only if q false positives follow on each other. Probabilities are interpolated, with Witten-Bell weights for histories:
+only if q false positives follow on each other. The bits of an entry lie in one 64-bit word. Probabilities are
+interpolated, with Witten-Bell weights for histories:
 
     p(w | v) = l(v) c(v w) / c(v) + (1 - l(v)) p(w),    l(v) = c(v) / (c(v) + MU),
     p(w) = (c(w) + 1) / (words + types + 1)
 
-Counting is distributed: a worker adds up the n-grams of a batch before the shuffle. The filter is cut into segments
-by hash; each segment is filled by one task. Where the filter is below ``BROADCAST_BYTES`` it is broadcast whole and
-documents are scored in one pass. Beyond that, n-grams of documents are sent to the segments instead (a shuffle on the
-segment number), each worker holding one segment at a time; the scores are the same.
+A document of the corpus that the model was trained on is scored by the rest of it: what it holds itself is taken off
+the counts (``own``), so a text that occurs nowhere else scores as an unseen one and a copy as a known one.
 
-Defined results: null and empty texts have no words, log probability 0 and perplexity null; a first word is scored by
-its unigram; repeated rows are counted and scored each; extra columns are ignored; an empty table gives an empty
-result; rows with a null doc_id are counted and scored like others.
+Training is one shuffle: a worker adds up the n-grams of a few million words, sorts them by hash and sends each segment
+of hashes as one block of differences; the segment's task adds the blocks up and fills the segment's part of the filter.
+Segments are as many as the corpus is large, so each is bounded. A filter below ``BROADCAST_BYTES`` is broadcast whole
+to the workers, and documents are scored in one pass. A larger one stays in segments: the distinct n-grams of a pack of
+documents go to the segments, the levels come back to the pack; the scores are exactly the same.
+
+Defined results: null and empty texts have no words, log probability 0 and perplexity null; texts of any length are
+counted and scored whole; a first word is scored by its unigram; repeated rows are counted and scored each, and are
+copies of each other; ties don't arise; extra columns, of any names, are ignored; an empty table gives an empty result;
+rows with a null doc_id are counted and scored like others.
 """
 
 from __future__ import annotations
@@ -25,28 +31,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 from . import common, textkit
 
-#: Levels of the logarithmic scale: counts up to BASE ** (q - 1) have level q.
-BASE, LEVELS, MU = 1.5, 48, 5.0
-BITS_PER_ENTRY, PROBES = 8, 5
-BROADCAST_BYTES = 256 << 20
-SEGMENT_BYTES = 8 << 20
-_BIGRAM = np.uint64(0x632BE59BD9B4E019)
+#: Levels of the logarithmic scale: counts up to 2 ** (q - 1) have level q.
+LEVELS, MU = 48, 5.0
+BITS_PER_ENTRY, PROBES = 10, 4
+BROADCAST_BYTES = 128 << 20
+#: Text for each segment; words that are added up, or that form a pack, at a time.
+SEGMENT_TEXT, PACK_WORDS = 16 << 20, 1_500_000
+_BIGRAM, _DOC = np.uint64(0x632BE59BD9B4E019), np.uint64(0xC2B2AE3D27D4EB4F)
+_STEP = 0x9E3779B97F4A7C15
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    """The level of a count: 1 for a single occurrence, one more for each factor BASE, rounded up."""
-    q = 1 + np.ceil(np.log(np.maximum(counts, 1)) / math.log(BASE) - 1e-9)
+    """The level of a count: 1 for a single occurrence, one more for each doubling, rounded up."""
+    q = 1 + np.ceil(np.log2(np.maximum(counts, 1)) - 1e-9)
     return np.minimum(q, LEVELS).astype(np.int64)
 
 
 def expected(q: np.ndarray) -> np.ndarray:
-    """The count that a level stands for: the middle of its range; 0 for level 0."""
-    q = np.asarray(q, float)
-    return np.where(q <= 0, 0.0, np.where(q == 1, 1.0, (BASE ** (q - 1) + BASE ** (q - 2)) / 2))
+    """The count that a level stands for: the middle of its range; 0 for level 0. Exact for counts of 1 and 2."""
+    return _EXPECTED[q]
+
+
+_EXPECTED = np.array([0.0, 1.0, 2.0, *((2.0 ** (q - 2) + 1 + 2.0 ** (q - 1)) / 2 for q in range(3, LEVELS + 1))])
 
 
 def ngrams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -60,60 +71,82 @@ def ngrams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield at, len(part), w.doc, w.hash & ~np.uint64(1), pair
 
 
-def count(docs: DataFrame) -> DataFrame:
-    """(gram, n) of every unigram (even hashes) and bigram (odd hashes) of all texts."""
+def segment_of(grams: np.ndarray, segments: int) -> np.ndarray:
+    """Segments cut the range of hashes evenly, so that sorted n-grams are sorted by segment."""
+    return (((grams >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)).astype(np.int64)
 
-    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            held, size = [], 0
-            for _, _, _, one, two in ngrams(batch.column("text")):
-                held += [one, two[two != 0]]
-                size += len(one)
-                if size > 1_500_000:
-                    yield _tally(held)
-                    held, size = [], 0
-            if held:
-                yield _tally(held)
 
-    return docs.select("text").mapInArrow(batches, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+def pack_sorted(grams: np.ndarray) -> bytes:
+    """Ascending distinct hashes as differences, in as few bytes as the largest difference takes."""
+    gaps = np.diff(grams, prepend=np.uint64(0))
+    first, rest = gaps[:1], gaps[1:]
+    wide = max(1, (int(rest.max()).bit_length() + 7) // 8) if len(rest) else 1
+    body = np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8)[:, :wide])
+    return bytes([wide]) + first.tobytes() + body.tobytes()
 
 
-def _tally(held: list[np.ndarray]) -> pa.RecordBatch:
-    gram, n = np.unique(np.concatenate(held), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+def unpack_sorted(data: bytes) -> np.ndarray:
+    wide, first = data[0], np.frombuffer(data, np.uint64, 1, 1)
+    body = np.frombuffer(data, np.uint8, -1, 9).reshape(-1, wide)
+    gaps = np.zeros((len(body) + 1, 8), np.uint8)
+    gaps[1:, :wide] = body
+    out = gaps.view(np.uint64)[:, 0]
+    out[0] = first[0]
+    return np.cumsum(out, dtype=np.uint64)
 
 
-class Filter:
-    """A Bloom filter over (n-gram, level), in segments of equal size by n-gram hash."""
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in a byte each; those above 254 follow in eight bytes."""
+    large = counts > 254
+    return np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype(np.int64).tobytes()
+
+
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, np.int64, -1, n) if len(data) > n else 0
+    return counts
 
-    def __init__(self, segments: int, bits: int, data: np.ndarray | None = None, first: int = 0):
-        self.segments, self.bits, self.first = segments, bits, first
-        self.data = np.zeros(segments * bits // 8, np.uint8) if data is None else data
 
-    @staticmethod
-    def segment_of(grams: np.ndarray, segments: int) -> np.ndarray:
-        return ((grams >> np.uint64(33)) % np.uint64(segments)).astype(np.int64)
+def _cuts(grams: np.ndarray, segments: int) -> Iterator[tuple[int, slice]]:
+    """(segment, slice) of ascending n-grams."""
+    part = segment_of(grams, segments)
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=False):
+        yield int(part[low]), slice(low, high)
 
-    def _places(self, grams: np.ndarray, level: np.ndarray, k: int) -> np.ndarray:
-        base = textkit.mix(grams + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        step = (base >> np.uint64(32)) | np.uint64(1)
-        bit = ((base + np.uint64(k) * step) % np.uint64(self.bits)).astype(np.int64)
-        return (self.segment_of(grams, self.segments) - self.first) * self.bits + bit
+
+class Filter:
+    """A Bloom filter over (n-gram, level): 64-bit words, ``sizes`` of them for each segment from ``first`` on."""
+
+    def __init__(self, segments: int, sizes: np.ndarray, data: np.ndarray | None = None, first: int = 0):
+        self.segments, self.first, self.sizes = segments, first, np.asarray(sizes, np.int64)
+        self.base = np.cumsum(self.sizes) - self.sizes
+        self.data = np.zeros(int(self.sizes.sum()), np.uint64) if data is None else data
+
+    def _places(self, grams: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """The word of each entry, and its bits in it."""
+        base = textkit.mix(grams + np.uint64(level * _STEP & (1 << 64) - 1))
+        bits = np.uint64(1) << (base & np.uint64(63))
+        for k in range(1, PROBES):
+            bits |= np.uint64(1) << ((base >> np.uint64(6 * k)) & np.uint64(63))
+        spread = base >> np.uint64(32)
+        if len(self.sizes) == 1:
+            return (spread * np.uint64(self.sizes[0]) >> np.uint64(32)).astype(np.int64), bits
+        own = segment_of(grams, self.segments) - self.first
+        return self.base[own] + (spread * self.sizes[own].astype(np.uint64) >> np.uint64(32)).astype(np.int64), bits
 
     def add(self, grams: np.ndarray, q: np.ndarray) -> None:
-        grams, level = np.repeat(grams, q), np.arange(int(q.sum())) - np.repeat(np.cumsum(q) - q, q) + 1
-        for k in range(PROBES):
-            at = self._places(grams, level, k)
-            np.bitwise_or.at(self.data, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        for level in range(1, int(q.max()) + 1 if len(q) else 0):
+            at, bits = self._places(grams[q >= level], level)
+            np.bitwise_or.at(self.data, at, bits)
 
     def level(self, grams: np.ndarray) -> np.ndarray:
         """The number of levels present from the first on, by repeated probes."""
         out = np.zeros(len(grams), np.int64)
         alive = np.arange(len(grams))
         for q in range(1, LEVELS + 1):
-            for k in range(PROBES):
-                at = self._places(grams[alive], np.full(len(alive), q), k)
-                alive = alive[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            at, bits = self._places(grams[alive] if q > 1 else grams, q)
+            alive = alive[self.data[at] & bits == bits]
             if not len(alive):
                 break
             out[alive] = q
@@ -121,66 +154,116 @@ class Filter:
 
 
 class Model:
-    """Segments of the filter as a table, with corpus totals."""
-
-    def __init__(self, table: DataFrame, segments: int, bits: int, words: int, types: int):
-        self.table, self.segments, self.bits, self.words, self.types = table, segments, bits, words, types
+    """Segments of the filter as a table (segment, entries, words, types, bits), with corpus totals."""
 
-    @property
-    def size(self) -> int:
-        return self.segments * self.bits // 8
+    def __init__(self, table: DataFrame, segments: int):
+        self.table, self.segments = table, segments
+        row = table.agg(F.sum("words"), F.sum("types"), F.sum(F.length("bits"))).first()
+        self.words, self.types, self.size = (int(x or 0) for x in row)
 
     def whole(self) -> Filter:
-        parts = self.table.orderBy("segment").toPandas()
-        return Filter(self.segments, self.bits, np.frombuffer(b"".join(parts["bits"]), np.uint8))
+        """All segments in one. Only for a filter whose size was checked."""
+        sizes, data = np.ones(self.segments, np.int64), {}
+        for r in self.table.select("segment", "bits").toLocalIterator():
+            data[r.segment] = np.frombuffer(r.bits, np.uint64)
+            sizes[r.segment] = len(data[r.segment])
+        out = Filter(self.segments, sizes)
+        for s, part in data.items():
+            out.data[out.base[s] : out.base[s] + len(part)] = part
+        return out
+
+
+def _placed(df: DataFrame, parts: int, key: str, *order: str) -> DataFrame:
+    """df with the rows of a key in one partition, together and in order; keys are dealt out evenly."""
+    return df.repartitionById(parts, F.pmod(F.col(key), F.lit(parts)).cast("int")).sortWithinPartitions(key, *order)
 
 
-def train(docs: DataFrame) -> Model:
+def _tasks(df: DataFrame, segments: int) -> int:
+    return max(1, min(segments, max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), segments // 8)))
+
+
+def train(docs: DataFrame, segment_text: int = SEGMENT_TEXT, bits_per_entry: int = BITS_PER_ENTRY) -> Model:
     """The filter of all n-grams of docs; what it holds grows with the corpus."""
-    counts = common.durable(count(docs))
-    common.release(counts)
-    q = F.least(F.lit(LEVELS), F.lit(1) + F.ceil(F.log(F.col("n")) / math.log(BASE) - 1e-9))
-    uni = F.col("gram").bitwiseAND(1) == 0
-    total = counts.agg(F.sum(q), F.sum(F.when(uni, F.col("n"))), F.count(F.when(uni, 1))).first()
-    entries, words, types = (int(x or 0) for x in total)
-    segments = max(1, math.ceil(entries * BITS_PER_ENTRY / 8 / SEGMENT_BYTES))
-    # A segment's share varies little: n-grams are spread by hash.
-    bits = max(1024, math.ceil(entries * BITS_PER_ENTRY / segments / 8) * 8)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    segments = max(1, math.ceil(size / segment_text))
+
+    def tally(held: list[np.ndarray]) -> pa.RecordBatch:
+        gram, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        rows = [(s, pack_sorted(gram[own]), pack_counts(n[own])) for s, own in _cuts(gram, segments)]
+        kinds = (pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["segment", "grams", "counts"])
+
+    def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in found:
+            for _, _, _, one, two in ngrams(batch.column("text")):
+                held += [one, two[two != 0]]
+                size += len(one)
+                if size > PACK_WORDS:
+                    yield tally(held)
+                    size = 0
+        if size:
+            yield tally(held)
+
+    def filled(segment: int, blocks: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        gram, n = np.concatenate([g for g, _ in blocks]), np.concatenate([c for _, c in blocks])
+        blocks.clear()
+        order = np.argsort(gram)
+        gram, n = gram[order], n[order]
+        first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        gram, n = gram[first], np.add.reduceat(n, first)
+        q, uni = levels(n), gram & np.uint64(1) == 0
+        entries = int(q.sum())
+        bloom = Filter(1, np.array([math.ceil(entries * bits_per_entry / 64) + 1]), first=0)
+        bloom.add(gram, q)
+        row = (segment, entries, int(n[uni].sum()), int(uni.sum()), bloom.data.tobytes())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["segment", "entries", "words", "types", "bits"])
 
     def fill(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Filter] = {}
+        at, blocks = -1, []
         for batch in found:
-            gram, n = batch.column("gram").to_numpy().view(np.uint64), batch.column("n").to_numpy()
-            part = Filter.segment_of(gram, segments)
-            for s in np.unique(part).tolist():
-                if s not in held:
-                    held[s] = Filter(segments, bits, np.zeros(bits // 8, np.uint8), s)
-                own = part == s
-                held[s].add(gram[own], levels(n[own]))
-        for s, f in held.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s], pa.int64()), pa.array([f.data.tobytes()], pa.binary())], names=["segment", "bits"]
-            )
-
-    place = F.pmod(F.shiftrightunsigned("gram", 33), F.lit(segments))
-    table = counts.repartition(segments, place).mapInArrow(fill, "segment long, bits binary")
-    return Model(common.durable(table), segments, bits, words, types)
-
-
-def log_probabilities(q_word: np.ndarray, q_pair: np.ndarray, q_history: np.ndarray, words: int, types: int) -> np.ndarray:
-    """Natural logarithms of the interpolated probabilities."""
-    one = (expected(q_word) + 1) / (words + types + 1)
-    history = expected(q_history)
+            for s, grams, counts in zip(*(batch.column(k).to_pylist() for k in ("segment", "grams", "counts")), strict=True):
+                if blocks and s != at:
+                    yield filled(at, blocks)
+                at, gram = s, unpack_sorted(grams)
+                blocks.append((gram, unpack_counts(counts, len(gram))))
+        if blocks:
+            yield filled(at, blocks)
+
+    sent = docs.select("text").mapInArrow(count, "segment long, grams binary, counts binary")
+    table = common.durable(
+        _placed(sent, _tasks(docs, segments), "segment").mapInArrow(fill, "segment long, entries long, words long, types long, bits binary")
+    )
+    del sent
+    common.release(table)
+    return Model(table, segments)
+
+
+def _repeats(doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """How often each n-gram stands in its own document."""
+    _, inverse, n = np.unique(gram ^ textkit.mix(doc.astype(np.uint64) * _DOC), return_inverse=True, return_counts=True)
+    return n[inverse]
+
+
+def _sums(
+    doc: np.ndarray, rows: int, q_word: np.ndarray, q_pair: np.ndarray, paired: np.ndarray, one: np.ndarray, two: np.ndarray, model: tuple[int, int, bool]
+) -> tuple[np.ndarray, np.ndarray]:
+    """(words, log probability) of each document. ``one`` and ``two`` identify n-grams, ``paired`` has a word before."""
+    words, types, own = model
+    n = np.bincount(doc, minlength=rows)
+    word, pair, all_words = expected(q_word), expected(q_pair), np.full(len(doc), float(words))
+    if own:
+        word = np.maximum(word - _repeats(doc, one), 0)
+        pair = np.where(paired, np.maximum(pair - _repeats(doc, two), 0), 0)
+        all_words = np.maximum(all_words - n[doc], 0)
+    history = np.where(paired, np.append(0, word[:-1]), 0) if len(word) else word
+    unigram = (word + 1) / (all_words + types + 1)
     share = history / (history + MU)
-    two = np.divide(expected(q_pair), history, out=np.zeros(len(one)), where=history > 0)
-    return np.log(share * np.minimum(two, 1) + (1 - share) * one)
-
-
-def score(docs: DataFrame, model: Model, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, n_words, log_prob, perplexity) of every row."""
-    if model.size <= broadcast_bytes:
-        return _score_whole(docs, model)
-    return _score_segments(docs, model)
+    bigram = np.divide(pair, history, out=np.zeros(len(word)), where=history > 0)
+    p = np.log(share * np.minimum(bigram, 1) + (1 - share) * unigram)
+    return n, np.bincount(doc, p, rows)
 
 
 _SCHEMA = "doc_id long, n_words long, log_prob double, perplexity double"
@@ -190,92 +273,124 @@ def _rows(ids: pa.Array, n: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
     total = np.round(total, 6) + 0.0
     perplexity = np.round(np.exp(np.minimum(-total / np.maximum(n, 1), 700)), 6)
     return pa.RecordBatch.from_arrays(
-        [ids, pa.array(n), pa.array(total), pa.array(perplexity, mask=n == 0)],
+        [ids, pa.array(n.astype(np.int64)), pa.array(total), pa.array(perplexity, mask=n == 0)],
         names=["doc_id", "n_words", "log_prob", "perplexity"],
     )
 
 
-def _score_whole(docs: DataFrame, model: Model) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((model.whole().data, model.segments, model.bits))
-    words, types = model.words, model.types
+def score(docs: DataFrame, model: Model, broadcast_bytes: int = BROADCAST_BYTES, own: bool = True) -> DataFrame:
+    """(doc_id, n_words, log_prob, perplexity) of every row; ``own``: docs are what the model was trained on."""
+    totals = (model.words, model.types, own)
+    if model.size <= broadcast_bytes:
+        return _score_whole(docs, model, totals)
+    return _score_segments(docs, model, totals)
+
+
+def _score_whole(docs: DataFrame, model: Model, totals: tuple[int, int, bool]) -> DataFrame:
+    bloom = model.whole()
+    shared = docs.sparkSession.sparkContext.broadcast((bloom.segments, bloom.sizes, bloom.data))
+    del bloom
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, segments, bits = shared.value
-        bloom = Filter(segments, bits, data)
+        bloom = Filter(*shared.value)
         for batch in found:
             n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for at, rows, doc, one, two in ngrams(batch.column("text")):
                 if not len(one):
                     continue
                 unique, inverse = np.unique(one, return_inverse=True)
-                q_word = bloom.level(unique)[inverse]
-                q_pair = np.where(two != 0, bloom.level(two), 0)
-                q_history = np.where(two != 0, np.append(0, q_word[:-1]), 0)
-                p = log_probabilities(q_word, q_pair, q_history, words, types)
-                n[at : at + rows] = np.bincount(doc, minlength=rows)
-                total[at : at + rows] = np.bincount(doc, p, rows)
+                q_pair = np.zeros(len(two), np.int64)
+                paired = two != 0
+                q_pair[paired] = bloom.level(two[paired])
+                own = slice(at, at + rows)
+                n[own], total[own] = _sums(doc, rows, bloom.level(unique)[inverse], q_pair, paired, one, two, totals)
             yield _rows(batch.column("doc_id"), n, total)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, _SCHEMA)
 
 
-def _score_segments(docs: DataFrame, model: Model) -> DataFrame:
-    """Scores by sending n-grams to the segments that hold them, for filters too large to broadcast."""
-    segments, bits, words, types = model.segments, model.bits, model.words, model.types
-    numbered = common.durable(docs.select(F.col("doc_id").cast("long"), "text").withColumn("row", F.monotonically_increasing_id()))
+_LEVELS_OF, _PACK = 1, 2
 
-    def probes(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            ids = batch.column("row").to_numpy()
-            for at, _, doc, one, two in ngrams(batch.column("text")):
-                place = np.arange(len(one)) + (int(at) << 32)
-                gram, role = np.concatenate([one, two[two != 0]]), np.concatenate([np.zeros(len(one), np.int32), np.ones(int((two != 0).sum()), np.int32)])
-                where = np.concatenate([np.arange(len(one)), np.flatnonzero(two != 0)])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(Filter.segment_of(gram, segments)),
-                        pa.array(gram.view(np.int64)),
-                        pa.array(role),
-                        pa.array(ids[at + doc[where]]),
-                        pa.array(place[where]),
-                    ],
-                    names=["segment", "gram", "role", "row", "place"],
-                )
-
-    def look(left, right):
-        found = left.to_pandas() if hasattr(left, "to_pandas") else left
-        held = right.to_pandas() if hasattr(right, "to_pandas") else right
-        q = np.zeros(len(found), np.int64)
-        if len(held) and len(found):
-            s = int(held["segment"].iloc[0])
-            bloom = Filter(segments, bits, np.frombuffer(held["bits"].iloc[0], np.uint8), s)
-            q = bloom.level(found["gram"].to_numpy().view(np.uint64))
-        return found[["row", "place", "role"]].assign(q=q)
-
-    sent = numbered.mapInArrow(probes, "segment long, gram long, role int, row long, place long")
-    looked = (
-        sent.groupBy("segment").cogroup(model.table.groupBy("segment")).applyInPandas(look, "row long, place long, role int, q long")
-    )
 
-    def expect(q):
-        q = q.cast("double")
-        return F.when(q <= 0, 0.0).when(q == 1, 1.0).otherwise((F.pow(F.lit(BASE), q - 1) + F.pow(F.lit(BASE), q - 2)) / 2)
+def _score_segments(docs: DataFrame, model: Model, totals: tuple[int, int, bool]) -> DataFrame:
+    """Scores by sending packs of n-grams to the segments that hold them, for filters too large to broadcast.
 
-    each = looked.groupBy("row", "place").agg(
-        F.max(F.when(F.col("role") == 0, F.col("q"))).alias("w"), F.max(F.when(F.col("role") == 1, F.col("q"))).alias("pair")
-    )
-    history = F.when(F.col("pair").isNotNull(), F.lag("w").over(W.partitionBy("row").orderBy("place")))
-    each = each.withColumn("h", expect(F.coalesce(history, F.lit(0))))
-    share = F.col("h") / (F.col("h") + MU)
-    one = (expect(F.col("w")) + 1) / (words + types + 1)
-    two = F.when(F.col("h") > 0, F.least(F.lit(1.0), expect(F.coalesce("pair", F.lit(0))) / F.col("h"))).otherwise(0.0)
-    sums = each.withColumn("p", F.log(share * two + (1 - share) * one)).groupBy("row").agg(
-        F.count("*").alias("n"), F.sum("p").alias("total")
-    )
-    total = F.round(F.coalesce("total", F.lit(0.0)), 6)
-    return numbered.select("doc_id", "row").join(sums, "row", "left").select(
-        "doc_id",
-        F.coalesce("n", F.lit(0)).cast("long").alias("n_words"),
-        total.alias("log_prob"),
-        F.when(F.col("n") > 0, F.round(F.exp(F.least(F.lit(700.0), -total / F.col("n"))), 6)).alias("perplexity"),
-    )
+    A pack's documents travel beside its n-grams, as the places of their words in the sorted n-grams, so that both come
+    from one reading of the texts.
+    """
+    segments = model.segments
+    names = ["place", "kind", "pack", "data"]
+
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def packed(pack: int, ids: list, sizes: list[np.ndarray], ones: list[np.ndarray], twos: list[np.ndarray]) -> pa.RecordBatch:
+        one, two = np.concatenate(ones), np.concatenate(twos)
+        gram, inverse = np.unique(np.concatenate([one, two[two != 0]]), return_inverse=True)
+        size, known = np.concatenate(sizes), np.array([x is not None for x in ids])
+        ids_ = np.array([x or 0 for x in ids], np.int64)
+        body = [np.array([len(ids), len(one), len(inverse)], np.int64), ids_, size.astype(np.int64), known.astype(np.int64), inverse.astype(np.int32), (two != 0).astype(np.int32)]
+        data = b"".join(x.tobytes() for x in body)
+        rows = [(s, _LEVELS_OF, pack, pack_sorted(gram[own])) for s, own in _cuts(gram, segments)]
+        return rows_of([*rows, (pack % segments, _PACK, pack, len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True))])
+
+    def packs(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, ones, twos = [], [], [], []
+        pack = TaskContext.get().partitionId() << 32
+        for batch in found:
+            own = batch.column("doc_id").to_pylist()
+            for at, rows, doc, one, two in ngrams(batch.column("text")):
+                ids += own[at : at + rows]
+                sizes.append(np.bincount(doc, minlength=rows))
+                ones.append(one)
+                twos.append(two)
+                if sum(map(len, ones)) > PACK_WORDS:
+                    yield packed(pack, ids, sizes, ones, twos)
+                    pack += 1
+                    ids, sizes, ones, twos = [], [], [], []
+        if ids:
+            yield packed(pack, ids, sizes, ones, twos)
+
+    def probe(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom, at = None, -1
+        for batch in found:
+            for s, kind, pack, data in zip(*(batch.column(k).to_pylist() for k in names), strict=True):
+                if kind == 0:
+                    bloom, at = Filter(1, np.array([len(data) // 8]), np.frombuffer(data, np.uint64)), s
+                elif kind == _PACK:
+                    yield rows_of([(s, kind, pack, data)])
+                else:
+                    gram = unpack_sorted(data)
+                    q = bloom.level(gram) if bloom is not None and at == s else np.zeros(len(gram), np.int64)
+                    yield rows_of([(s, kind, pack, q.astype(np.uint8).tobytes())])
+
+    def sums(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        for batch in found:
+            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if kind == _LEVELS_OF:
+                    held.append(data)
+                    continue
+                q = np.frombuffer(b"".join(held), np.uint8).astype(np.int64)
+                held = []
+                raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+                docs_, words_, grams_ = np.frombuffer(raw, np.int64, 3)
+                ids, size, known = np.frombuffer(raw, np.int64, 3 * docs_, 24).reshape(3, -1)
+                inverse, paired = np.split(np.frombuffer(raw, np.int32, -1, 24 * (1 + docs_)), [grams_])
+                paired = paired.astype(bool)
+                two = np.zeros(words_, np.int64)
+                two[paired] = inverse[words_:]
+                q_pair = np.zeros(words_, np.int64)
+                q_pair[paired] = q[inverse[words_:]]
+                doc, one = np.repeat(np.arange(docs_), size), inverse[:words_]
+                q_word = q[one] if words_ else np.zeros(0, np.int64)
+                n, total = _sums(doc, docs_, q_word, q_pair, paired, one.astype(np.uint64), two.astype(np.uint64), totals)
+                yield _rows(pa.array(ids, mask=known == 0), n, total)
+
+    schema = "place long, kind int, pack long, data binary"
+    parts = _tasks(docs, segments)
+    held = model.table.select(F.col("segment").alias("place"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("pack"), F.col("bits").alias("data"))
+    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(packs, schema)
+    probed = _placed(held.unionByName(sent), parts, "place", "kind").mapInArrow(probe, schema)
+    return _placed(probed, parts, "pack", "kind", "place").select("kind", "data").mapInArrow(sums, _SCHEMA)
