@@ -45,7 +45,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return covertree.pairs(table(spark, sf_dir, "embeddings"))
+    return covertree.classes(table(spark, sf_dir, "embeddings"))
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
