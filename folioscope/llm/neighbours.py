@@ -22,7 +22,6 @@ extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 
@@ -32,19 +31,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common, textkit, vectors
 
-K, DEGREE, SAMPLE, ROUNDS, SETTLED = 10, 64, 24, 8, 0.004
+K, DEGREE, SAMPLE, ROUNDS, SETTLED = 10, 40, 16, 6, 0.02
 CELL, TABLES, SEED = 512, 3, 11
-BEAM, LINKS, EXPAND, HOPS = 64, 32, 8, 12
+BEAM, LINKS, EXPAND, HOPS = 192, 40, 24, 12
 _GRAPH = "id long, nids array<long>, scores array<float>, used array<byte>"
 _NEW, _FRESH, _USED = 0, 1, 2
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def _lists(rows: pa.Array, *values: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
     """Cuts of list arrays with flat values, as [ids, lists]."""
     unique, start = np.unique(rows, return_index=True)
@@ -169,8 +162,11 @@ def _round(graph: DataFrame, points: DataFrame, degree: int, sample: int, turn:
             row, nid, used = np.repeat(np.arange(batch.num_rows), _sizes(batch, "nids")), _flat(batch, "nids"), _flat(batch, "used")
             take = _chosen(row, nid, used, turn, sample)
             hub, member, fresh = batch.column("id").to_numpy()[row[take]], nid[take], used[take] == _FRESH
+            # Of the links back to a hub those with the lowest hashes are taken in the end: the lowest of a batch do.
+            order = np.argsort(member, kind="stable")
+            low = order[_chosen(member[order], hub[order], fresh[order] * 2 + 1, turn, sample)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(v)) for v in ((hub, member), (member, hub), (fresh, fresh), (np.zeros(len(hub), bool), np.ones(len(hub), bool)))],
+                [pa.array(np.concatenate(v)) for v in ((hub, member[low]), (member, hub[low]), (fresh, fresh[low]), (np.zeros(len(hub), bool), np.ones(len(low), bool)))],
                 names=["hub", "member", "fresh", "back"],
             )
 
@@ -260,7 +256,7 @@ def descend(
     graph = common.durable(_merge(_start(_placed(points, dim, bits), degree, cell), degree))
     for turn in range(rounds):
         graph = common.durable(_round(graph, points, degree, sample, turn))
-        _release(graph)
+        common.release(graph)
         if graph.agg(F.sum("changed")).first()[0] <= settled * n * degree:
             break
     return graph
@@ -322,7 +318,7 @@ def search(
         # A visited node's vectors stay with it; only queries travel to the nodes.
         seen = edge.select("id", "bound", "qvec", "all").mapInArrow(visit, _GRAPH)
         state = common.durable(_merge(state.select("id", "nids", "scores", "used").mapInArrow(closed, _GRAPH).unionByName(seen), beam))
-        _release(state)
+        common.release(state)
         if state.agg(F.sum("changed")).first()[0] <= SETTLED * state.count():
             break
     return state
@@ -357,12 +353,19 @@ def _report(state: DataFrame, points: DataFrame, queries: DataFrame, k: int) ->
     )
 
 
-def nearest(frame: DataFrame, k: int = K, key: str = "vec_id", column: str = "embedding", degree: int = DEGREE) -> DataFrame:
-    """(vec_id, rank, neighbour_id, cosine): the k nearest others of every row."""
+def nearest(
+    frame: DataFrame, k: int = K, key: str = "vec_id", column: str = "embedding", degree: int = DEGREE, every: int = 1, **options
+) -> DataFrame:
+    """(vec_id, rank, neighbour_id, cosine): the k nearest others, among all rows, of the rows whose id ``every`` divides.
+
+    ``options`` are those of ``descend``.
+    """
     points = _points(frame, key, column)
-    graph = descend(points, degree)
-    state = search(points, graph, graph, points) if graph.count() else graph
-    return _report(state, points, points, k)
+    graph = descend(points, degree, **options)
+    asked = points.where(F.col("id") % every == 0)
+    starts = graph.where(F.col("id") % every == 0)
+    state = search(points, graph, starts, asked) if graph.count() else graph
+    return _report(state, points, asked, k)
 
 
 def lookup(frame: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id", column: str = "embedding", degree: int = DEGREE) -> DataFrame:

@@ -49,7 +49,7 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=50)
 
 
 QUERIES = {
