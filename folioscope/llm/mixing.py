@@ -7,23 +7,30 @@ highest quotient weight / (2 x blocks so far + 1) among those that have blocks l
 its shards by the same rule with their block counts as weights. Every shard finally takes its quota of blocks, those
 with the lowest seeded hashes, and keeps the documents in them.
 
-Only (source, shard) totals reach the apportionment; the order, the cut and the selection are distributed.
+Only (source, shard) totals reach the apportionment; the order, the cut and the selection are distributed. Running
+sums are made on two levels: the order is that of a hash, its leading digits cut every source and shard into ``RANGES``
+ranges, whose totals are summed up first, so that a source with a third of all documents is spread over thousands of
+tasks.
 
 Defined results: tokens are words between spaces, so null and empty texts have none and stay with the block in which
-they fall; a null source is a source of its own, ''; rows with a null doc_id have the order of an empty id; repeated
+they fall; a text of any length is one unit and never cut; a null source is a source of its own, ''; rows with a null doc_id have the order of an empty id; repeated
 rows with one doc_id and source are one unit and stay or go together; ties between quotients go to the source, then to
-the shard, that sorts first; extra columns are ignored (``choose``) or kept (``mix``); an empty table gives an empty
-result; sources without a given weight weigh ``DEFAULT_WEIGHT``, and a weight of 0 or less gives no block.
+the shard, that sorts first; extra columns, of any names, are ignored (``choose``) or kept (``mix``); an empty table gives an
+empty result; sources without a given weight weigh ``DEFAULT_WEIGHT``, and a weight of 0 or less gives no block.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from . import common
 
 BLOCK_TOKENS = 2048
 SHARDS = 8
+#: Leading hexadecimal digits of a hash that make a range, and the ranges.
+DIGITS, RANGES = 3, 4096
 FRACTION = 0.6
 SEED = 17
 DEFAULT_WEIGHT = 1.0
@@ -77,10 +84,24 @@ def _units(docs: DataFrame, shards: int, seed: int) -> DataFrame:
     )
 
 
+def _running(rows: DataFrame, value: Column, *order: Column | str) -> DataFrame:
+    """rows (source, shard, mark, ..) with ``before``: the sum of value over the rows before, in the order of mark."""
+    rows = rows.withColumn("_range", F.substring("mark", 1, DIGITS)).withColumn("_value", value)
+    whole = rows.groupBy("source", "shard", "_range").agg(F.sum("_value").alias("_total"))
+    earlier = F.sum("_total").over(W.partitionBy("source", "shard").orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    within = F.sum("_value").over(W.partitionBy("source", "shard", "_range").orderBy("mark", *order).rowsBetween(W.unboundedPreceding, -1))
+    offsets = whole.select("source", "shard", "_range", F.coalesce(earlier, F.lit(0)).alias("_earlier"))
+    return (
+        rows.withColumn("_within", F.coalesce(within, F.lit(0)))
+        .join(offsets, ["source", "shard", "_range"])
+        .withColumn("before", F.col("_earlier") + F.col("_within"))
+        .drop("_range", "_value", "_within", "_earlier")
+    )
+
+
 def _blocks(units: DataFrame, block: int) -> DataFrame:
-    order = W.partitionBy("source", "shard").orderBy("mark", F.col("doc_id").asc_nulls_first())
-    before = F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, -1))
-    return units.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / block).cast("long"))
+    placed = _running(units, F.col("tokens"), F.col("doc_id").asc_nulls_first())
+    return placed.withColumn("block", F.floor(F.col("before") / block).cast("long")).drop("before")
 
 
 def choose(
@@ -93,7 +114,7 @@ def choose(
 ) -> DataFrame:
     """(doc_id, source, shard, block, tokens) of the documents in the chosen blocks."""
     weights = WEIGHTS if weights is None else weights
-    placed = _blocks(_units(docs, shards, seed), block)
+    placed = _blocks(common.durable(_units(docs, shards, seed)), block)
     blocks = placed.groupBy("source", "shard", "block").agg(F.count("*").alias("n"))
     totals = blocks.groupBy("source", "shard").agg(F.count("*").alias("blocks")).toPandas()
     quotas = quotas_of(totals, weights, fraction)
@@ -102,12 +123,10 @@ def choose(
         [(r.source, int(r.shard), int(r.quota)) for r in quotas.itertuples()], "source string, shard long, quota long"
     )
     mark = F.md5(F.concat_ws(":", F.lit(f"{seed}"), "source", "shard", "block"))
-    rank = F.row_number().over(W.partitionBy("source", "shard").orderBy("mark", "block"))
     taken = (
-        blocks.select("source", "shard", "block", mark.alias("mark"))
-        .withColumn("rank", rank)
+        _running(blocks.select("source", "shard", "block", mark.alias("mark")), F.lit(1), "block")
         .join(table, ["source", "shard"])
-        .where("rank <= quota")
+        .where("before < quota")
         .select("source", "shard", "block")
     )
     return placed.join(taken, ["source", "shard", "block"]).select("doc_id", "source", "shard", "block", "tokens")
