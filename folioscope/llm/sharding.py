@@ -16,8 +16,8 @@ turn were granted no move, or until ``STALE`` such turns in a row lowered the cu
 places for ever); the labels of the least cut are kept.
 
 Defined results: one row for each doc_id, of repeated rows too (their lines are united); documents without a shared
-passage (null and empty texts among them) only fill up; rows with a null doc_id get no shard; ties go to the lower
-shard, between movers to the lower doc_id; extra columns are ignored; an empty table gives an empty result; with fewer
+passage (null and empty texts among them) only fill up; texts are read whole, of any length; rows with a null doc_id
+get no shard; ties go to the lower shard, between movers to the lower doc_id; extra columns, of any names, are ignored; an empty table gives an empty result; with fewer
 documents than shards some shards are empty.
 """
 
@@ -34,6 +34,8 @@ from . import common, textkit
 
 SHARDS, ROUNDS, SLACK, MIN_CHARS, SEED = 16, None, 0.05, 30, 3
 SHINGLE, WINDOW, STALE = 6, 7, 2
+#: Documents of a passage for each salt.
+HOT = 65536
 
 
 def winnowed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,16 +87,18 @@ def links(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     whole = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(long)).alias("line")).select(
         "doc_id", F.xxhash64(F.trim("line")).alias("passage")
     )
-    pairs = _shingles(known).union(whole).repartition("passage").distinct()
-    by = W.partitionBy("passage")
-    shared = pairs.select(
-        "doc_id",
-        "passage",
-        F.count("*").over(by).alias("size"),
-        *(F.expr(f"bit_xor(xxhash64({salt}, doc_id))").over(by).alias(f"x{salt}") for salt in (1, 2)),
-    ).where("size > 1")
-    return shared.groupBy("doc_id", "size", "x1", "x2").agg(F.min("passage").alias("passage"), F.count("*").alias("weight")).select(
-        "doc_id", "passage", "size", "weight"
+    pairs = common.durable(_shingles(known).union(whole).distinct())
+    # Aggregated and joined back, not by a window: a passage in a third of all documents is then no single task.
+    shared = (
+        pairs.groupBy("passage")
+        .agg(F.count("*").alias("size"), *(F.expr(f"bit_xor(xxhash64({salt}, doc_id))").alias(f"x{salt}") for salt in (1, 2)))
+        .where("size > 1")
+    )
+    return (
+        pairs.join(shared, "passage")
+        .groupBy("doc_id", "size", "x1", "x2")
+        .agg(F.min("passage").alias("passage"), F.count("*").alias("weight"))
+        .select("doc_id", "passage", "size", "weight")
     )
 
 
@@ -126,10 +130,16 @@ def _settled(labels: DataFrame) -> DataFrame:
 
 def wishes(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, shard, to, gain) of the linked documents that another shard pulls more than their own."""
-    marked = edges.join(labels, "doc_id")
-    counts = marked.groupBy("passage", F.col("shard").alias("k")).agg(F.count("*").alias("n"))
+    # The rows of a passage in very many documents are spread over several salts, its few counts are sent to each.
+    salts = F.ceil(F.col("size") / HOT)
+    marked = edges.join(labels, "doc_id").withColumn("salt", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), salts))
+    counts = (
+        marked.groupBy("passage", F.col("shard").alias("k"))
+        .agg(F.count("*").alias("n"), F.max(salts).alias("salts"))
+        .select("passage", "k", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    )
     pulls = (
-        marked.join(counts, "passage")
+        marked.join(counts, ["passage", "salt"])
         .select(
             "doc_id",
             "shard",
