@@ -7,13 +7,16 @@ template's words that are aligned.
 
 A template's words are ranked by rarity among the templates; any text that covers ``COVERAGE`` of a template holds at
 least one of its ``signal`` words, which make up more than 1 - COVERAGE of it. So texts without a signal word of any
-template are passed over in the scan, and the others are aligned only in stretches around signal words: no text that
-reaches the coverage is lost, and a text that repeats a license is aligned once for each place.
-
-Defined results: null and empty texts match nothing; repeated rows are scanned each; a text may match several
-templates, but of templates that align with overlapping words only the one with the most aligned words is reported,
-ties to the name that sorts first; a template that occurs several times is counted, its best coverage reported; extra
-columns are ignored; an empty table gives an empty result.
+template are passed over in the scan. The others are aligned in stretches around signal words, in windows of one and a
+half template lengths, of twice that, and so on up to the stretch, and as a whole: a text whose alignment as a whole
+reaches the coverage is never lost, and a text that repeats a license is aligned once for each place. Windows that hold
+too few of a template's words, in any order, aren't aligned.
+
+Defined results: null and empty texts match nothing; texts are scanned whole, of any length; rows with a null doc_id
+are scanned too; repeated rows are scanned each; a text may match several templates, but of templates that align with
+overlapping words only the one with the most aligned words is reported, ties to the name that sorts first, then to the
+narrower place; a template that occurs several times is counted, its best coverage reported; extra columns, of any
+names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -125,9 +128,12 @@ class Scanner:
         """(template, coverage, aligned words, places) of each template that the text reaches."""
         tokens = words(text)
         found: list[tuple[int, str, tuple[int, ...]]] = []
+        have = Counter(tokens)
         for name, template in self.templates.items():
             signal, size = self.signal[name], len(template)
             need = self.coverage * size
+            if sum(min(n, have[w]) for w, n in Counter(template).items()) < need:
+                continue
             hits = [k for k, w in enumerate(tokens) if w in signal]
             if not hits:
                 continue
@@ -138,9 +144,11 @@ class Scanner:
                     stretches[-1][1] = high
                 else:
                     stretches.append([low, high])
+            if stretches != [[0, len(tokens)]]:
+                found += self._windows(name, template, tokens, [0], len(tokens), len(tokens), need)
             for low, high in stretches:
                 found += self._places(name, template, tokens, low, high, need)
-        found.sort(key=lambda x: (-x[0], x[1]))
+        found.sort(key=lambda x: (-x[0], x[1], x[2][-1] - x[2][0], x[2]))
         taken: set[int] = set()
         best: dict[str, list] = {}
         for n, name, places in found:
@@ -152,11 +160,19 @@ class Scanner:
 
     def _places(self, name: str, template: list[str], tokens: list[str], low: int, high: int, need: float) -> list:
         """Alignments in one stretch. A long stretch may hold the template several times, so that few of its words are
-        unique there: windows of the template's length and a half, half a template apart, are then aligned each."""
+        unique there: windows of the template's length and a half, a third of it apart, are then aligned each, and
+        wider ones for a template with words put in between."""
         size, out = len(template), []
         wide = size + size // 2
-        starts = [low] if high - low <= wide else range(low, high - wide + max(1, size // 2), max(1, size // 2))
-        wanted = Counter(template)
+        while True:
+            starts = [low] if high - low <= wide else range(low, high - wide + max(1, wide // 3), max(1, wide // 3))
+            out += self._windows(name, template, tokens, starts, wide, high, need)
+            if high - low <= wide:
+                return out
+            wide *= 2
+
+    def _windows(self, name: str, template: list[str], tokens: list[str], starts: Iterable[int], wide: int, high: int, need: float) -> list:
+        out, wanted = [], Counter(template)
         for start in starts:
             end = min(high, start + wide)
             have = Counter(tokens[start:end])
