@@ -4,8 +4,9 @@ Bytes are embedded, convolved with filters of several widths, max-pooled over a
 network is trained in numpy on labelled text and applied to every window of every text: windows have a fixed length,
 and a document's probabilities are the means over its windows, weighted by the bytes that each holds.
 
-Defined results: a null or empty text, or one without letters, gets language ``und`` and confidence 0; repeated rows
-each get their own row; ties go to the language that sorts first; extra columns are ignored (``identify``) or kept
+Defined results: a null or empty text, or one without letters, gets language ``und`` and confidence 0; texts are read
+whole, of any length; rows with a null doc_id are classified too; repeated rows each get their own row; ties go to the
+language that sorts first; extra columns, of any names, are ignored (``identify``) or kept
 (``reject``); an empty table gives an empty result, and no labelled rows give ``und`` throughout.
 """
 
@@ -25,6 +26,8 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 #: Bound of the labelled rows that the network is fitted on; all rows are then classified.
 TRAIN_ROWS = 3000
+#: Labelled rows that a language needs.
+LEAST_ROWS = 15
 REJECT_CONFIDENCE = 0.9
 UNKNOWN = "und"
 
@@ -159,22 +162,26 @@ def classify(model: ByteCnn, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, label: str = "lang", rows: int = TRAIN_ROWS, seed: int = 11) -> ByteCnn | None:
-    """A network fitted on at most ``rows`` labelled documents, at most three random windows of each.
+def train(docs: DataFrame, label: str = "lang", rows: int = TRAIN_ROWS, seed: int = 11, least: int = LEAST_ROWS) -> ByteCnn | None:
+    """A network fitted on at most ``rows`` labelled documents, as many of each language, three random windows of each.
 
-    None where no row is labelled. A language needs one row in two hundred of the sample to be learnt.
+    None where no row is labelled. A language needs ``least`` labelled rows to be learnt, whatever its share; of more
+    than rows / least languages the most frequent are learnt.
     """
-    labelled = docs.where(F.col(label).isNotNull() & (F.length("text") > 0)).select("doc_id", "text", label)
-    sample = common.bounded_sample(labelled, "doc_id", rows, seed).toPandas()
-    counts = sample[label].value_counts()
-    names = sorted(k for k, n in counts.items() if n * 200 >= len(sample))
-    if not names:
+    labelled = docs.where(F.col(label).isNotNull() & (F.length("text") > 0)).select("doc_id", "text", F.col(label).alias("_label"))
+    counts = labelled.groupBy("_label").count().where(F.col("count") >= least).orderBy(F.desc("count"), "_label").limit(max(1, rows // least)).collect()
+    if not counts:
         return None
+    quota = rows // len(counts)
+    # Rows with the lowest seeded hashes of each language: about a third more than needed is sent, the rest goes here.
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["_label"], int(min(1.0, quota * 1.35 / r["count"]) * (1 << 30)))])
+    mark = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) / share[F.col("_label")]
+    picked = labelled.withColumn("_mark", mark).where("_mark < 1").orderBy("_mark", "doc_id").limit(2 * rows)
+    sample = picked.toPandas().groupby("_label", sort=False).head(quota)
+    names, label = sorted(r["_label"] for r in counts), "_label"
     rng = np.random.default_rng(seed)
     picked, target = [], []
     for text, name in zip(sample["text"], sample[label], strict=True):
-        if name not in names:
-            continue
         raw = np.frombuffer(text.lower().encode(), np.uint8)
         found, _, _ = windows_of(raw, np.array([0, len(raw)]))
         for k in rng.permutation(len(found))[:3]:
