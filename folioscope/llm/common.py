@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,11 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """df, materialised in the checkpoint folder that the cluster shares, so that lost executors cost nothing.
 
-    The folder is that of ``spark.checkpoint.dir``; only where the session names none (a local test) is one made.
+    The folder is that of ``spark.checkpoint.dir``. Only a local session that names none gets one of its own.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="folioscope-"))
     return df.checkpoint(eager=True)
 

@@ -22,9 +22,10 @@ more than ``CROWD`` share, only a spanning forest of the near pairs is passed on
 stays linear for groups of thousands.
 
 Defined results: null texts and texts without a word have no fingerprint and are never grouped; a text of one word is
-fingerprinted by it; identical fingerprints are joined at once; repeated rows with one doc_id are one document; the
-kept document of a group is that with the least doc_id; extra columns are ignored (``duplicates``) or kept
-(``deduplicate``); rows with a null doc_id are never grouped; an empty table gives an empty result.
+fingerprinted by it; texts of any length are read whole (their word counts count up to 2**24 - 1, beyond which texts are
+as long as each other); identical fingerprints are joined at once; repeated rows with one doc_id are one document, of
+different texts with one doc_id the least fingerprint counts; the kept document of a group is that with the least
+doc_id, so ties don't arise; extra columns, of any names, are ignored (``duplicates``) or kept (``deduplicate``); rows with a null doc_id are never grouped; an empty table gives an empty result.
 """
 
 from __future__ import annotations
