@@ -256,7 +256,7 @@ def _sums(
     word, pair, all_words = expected(q_word), expected(q_pair), np.full(len(doc), float(words))
     if own:
         word = np.maximum(word - _repeats(doc, one), 0)
-        pair = np.where(paired, np.maximum(pair - _repeats(doc, two), 0), 0)
+        pair[paired] = np.maximum(pair[paired] - _repeats(doc[paired], two[paired]), 0)
         all_words = np.maximum(all_words - n[doc], 0)
     history = np.where(paired, np.append(0, word[:-1]), 0) if len(word) else word
     unigram = (word + 1) / (all_words + types + 1)
