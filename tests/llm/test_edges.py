@@ -22,12 +22,12 @@ from folioscope.llm import bpe, covertree, langid, licenses, lm, mixing, neighbo
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-LONG = "word " * 60_000
+LONG = "lorem " * 60_000
 EDGES = [
     (None, "no id here but an idiot", "en", "a", 5),
     (1, None, None, None, None),
     (2, "", "en", "a", 0),
-    (3, LONG, "en", "a", 300_000),
+    (3, LONG, "en", "a", 360_000),
     (4, "same text here", "en", "b", 14),
     (4, "same text here", "en", "b", 14),
     (5, "Same text, here!", "en", "b", 16),
@@ -231,7 +231,7 @@ def test_stages_on_edges_and_empty_tables(spark, edges, empty, stage):
     _, run = corpus_pipeline.STAGES[stage]
     out = run(spark, edges, SF)
     kept = sorted((r.doc_id or 0) for r in out.collect())
-    assert kept == [[0, 3, 4, 4, 5, 6], [1, 2, 3, 4, 4, 5], [0, 1, 2, 3, 4, 4, 6], kept, [0, 1, 2, 3, 4, 4, 5, 6]][stage]
+    assert kept == [[0, 1, 2, 3, 4, 4, 5, 6], [1, 2, 3, 4, 4, 5], [0, 1, 2, 3, 4, 4, 6], kept, [0, 1, 2, 3, 4, 4, 5, 6]][stage]
     if stage < 4:
         assert out.columns == edges.columns
     assert run(spark, empty, SF).collect() == []
