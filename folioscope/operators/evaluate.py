@@ -66,26 +66,32 @@ def misses(gt: DataFrame, dt: DataFrame, matches: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-def counts(gt: DataFrame, dt: DataFrame, matches: DataFrame) -> DataFrame:
-    """Whole-number counts and areas by page and category, from which all scores follow."""
-    partners = lambda a, b: F.count("*").over(W.partitionBy(*KEYS, a))
-    m = matches.withColumn("per_gt", partners("gt_id", "dt_id")).withColumn("per_dt", partners("dt_id", "gt_id"))
-    distinct = lambda c, when: F.count_distinct(F.when(when, F.col(c)))
-    over, under = F.col("per_gt") > 1, F.col("per_dt") > 1
-    met = m.groupBy(*KEYS).agg(
-        F.count("*").alias("n_match"), F.sum("inter").alias("tp_area"),
-        F.count_distinct("gt_id").alias("gt_met"), F.count_distinct("dt_id").alias("dt_met"),
-        distinct("gt_id", over).alias("over_gt"), distinct("dt_id", over).alias("over_dt"),
-        distinct("gt_id", under).alias("under_gt"), distinct("dt_id", under).alias("under_dt"),
-        F.sum("iou").alias("sum_iou"), F.sum("iogt").alias("sum_iogt"), F.sum("iodt").alias("sum_iodt"),
-    )
-    missed = misses(gt, dt, matches).groupBy(*KEYS).agg(
-        *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("area"))), F.lit(0)).alias(f"{k}_area") for k in ("fp", "fn")],
-        *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in ("fp", "fn")],
-    )
-    sides = gt.select(*KEYS, F.lit(1).alias("g"), F.lit(0).alias("d")).unionAll(dt.select(*KEYS, F.lit(0), F.lit(1)))
-    sides = sides.groupBy(*KEYS).agg(F.sum("g").alias("n_gt"), F.sum("d").alias("n_dt"))
-    return sides.join(met, KEYS, "left").join(missed, KEYS, "left").na.fill(0)
+def counts(gt: DataFrame, dt: DataFrame, matches: DataFrame, by: list[str] = KEYS) -> DataFrame:
+    """Whole-number counts and areas by page and category (or ``by`` alone), from which all scores follow.
+
+    The first match of each segment stands for the segment, so distinct counts and misses are plain sums: matches,
+    truths and predictions are united and aggregated once.
+    """
+    g, d = W.partitionBy(*KEYS, "gt_id"), W.partitionBy(*KEYS, "dt_id")
+    m = matches.withColumn("per_gt", F.count("*").over(g)).withColumn("first_gt", F.row_number().over(g.orderBy("dt_id")) == 1)
+    m = m.withColumn("per_dt", F.count("*").over(d)).withColumn("first_dt", F.row_number().over(d.orderBy("gt_id")) == 1)
+    m = m.withColumn("split", F.max("per_gt").over(d) > 1).withColumn("joined", F.max("per_dt").over(g) > 1)
+    gt_first, dt_first = F.col("first_gt"), F.col("first_dt")
+    count, zero = (lambda when: when.cast("long")), F.lit(0).cast("long")
+    met = {
+        "n_gt": zero, "n_dt": zero, "n_match": F.lit(1).cast("long"), "tp_area": F.col("inter"),
+        "gt_met": count(gt_first), "dt_met": count(dt_first),
+        "over_gt": count(gt_first & (F.col("per_gt") > 1)), "over_dt": count(dt_first & F.col("split")),
+        "under_gt": count(gt_first & F.col("joined")), "under_dt": count(dt_first & (F.col("per_dt") > 1)),
+        "sum_iou": F.col("iou"), "sum_iogt": F.col("iogt"), "sum_iodt": F.col("iodt"),
+        "fp_area": -F.when(dt_first, F.col("dt_area")).otherwise(0), "fn_area": -F.when(gt_first, F.col("gt_area")).otherwise(0),
+        "n_fp": -count(dt_first), "n_fn": -count(gt_first),
+    }
+    none = {k: F.lit(0.0) if k.startswith("sum_") else zero for k in met}
+    one = F.lit(1).cast("long")
+    side = lambda rows, n, area, missed: rows.select(*KEYS, *[v.alias(k) for k, v in (none | {n: one, area: F.col("area"), missed: one}).items()])
+    rows = m.select(*KEYS, *[v.alias(k) for k, v in met.items()]).unionAll(side(gt, "n_gt", "fn_area", "n_fn")).unionAll(side(dt, "n_dt", "fp_area", "n_fp"))
+    return rows.groupBy(*by).agg(*[F.sum(k).alias(k) for k in met])
 
 
 def fp_fn(counted: DataFrame) -> DataFrame:
@@ -117,8 +123,9 @@ def pixel_image(counted: DataFrame) -> DataFrame:
 
 def category_stats(counted: DataFrame) -> DataFrame:
     """The scores by category over all pages; -1 where a score isn't defined."""
-    names = [c for c in counted.columns if c not in KEYS]
-    total = counted.groupBy("category").agg(*[F.sum(c).alias(c) for c in names])
+    total = counted
+    if "page_id" in counted.columns:
+        total = counted.groupBy("category").agg(*[F.sum(c).alias(c) for c in counted.columns if c not in KEYS])
     tp, fp, fn = (F.col(f"{k}_area") for k in ("tp", "fp", "fn"))
     both, pixels = "n_gt > 0 and n_dt > 0", (tp > 0) | ((fp > 0) & (fn > 0))
     score = lambda when, a, b: F.round(F.when(when, a / b).otherwise(-1.0), 5)
@@ -154,10 +161,85 @@ def category_encode(notes: DataFrame) -> DataFrame:
 def dense_ids(notes: DataFrame, start: int = 1) -> DataFrame:
     """Annotation numbers from ``start`` without gaps, in the order of page and segment.
 
-    Numbers are local to ranges of pages, to which the count of all ranges before is added: no global sort.
+    Numbers are local to ranges of pages, to which the count of all ranges before is added, on two levels: no global
+    sort, and a table of one row for 2 ** 24 pages at the top.
     """
-    cell = F.floor(F.col("page_id") / 4096)
+    cell, block = F.floor(F.col("page_id") / 4096), F.floor(F.col("page_id") / (1 << 24))
     local = notes.select("page_id", "seg_id", cell.alias("cell"), F.row_number().over(W.partitionBy(cell).orderBy("page_id", "seg_id")).alias("k"))
-    sizes = notes.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
-    before = sizes.select("cell", F.coalesce(F.sum("n").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return local.join(before, "cell").select("page_id", "seg_id", (F.col("before") + F.col("k") + (start - 1)).alias("ann_id"))
+    sizes = notes.groupBy(block.alias("block"), cell.alias("cell")).agg(F.count("*").alias("n"))
+    earlier = lambda over: F.coalesce(F.sum("n").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = sizes.groupBy("block").agg(F.sum("n").alias("n")).select("block", earlier(W.orderBy("block")).alias("base"))
+    before = sizes.select("block", "cell", earlier(W.partitionBy("block").orderBy("cell")).alias("before")).join(F.broadcast(blocks), "block")
+    return local.join(before.select("cell", (F.col("base") + F.col("before")).alias("before")), "cell").select(
+        "page_id", "seg_id", (F.col("before") + F.col("k") + (start - 1)).alias("ann_id")
+    )
+
+
+#: Area ranges of average precision, in pixels.
+RANGES = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
+THRESHOLDS = [round(0.5 + 0.05 * k, 2) for k in range(10)]
+
+
+def greedy_matches(gt: DataFrame, dt: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(category, threshold, range, score, tp, fp): counts of predictions, matched one to one by falling score.
+
+    A page's predictions of a category are folded over in order, each taking the best truth left; truths outside the
+    range of areas are taken last and then count for nothing, like unmatched predictions outside it. Ties in score go
+    to the lower id, ties in overlap too.
+    """
+    candidates = pairs.groupBy(*KEYS, F.col("dt_id").alias("seg_id")).agg(
+        F.collect_list(F.struct("gt_id", (F.col("inter") / F.col("union_area")).alias("iou"), F.col("gt_area").cast("double").alias("area"))).alias("all")
+    )
+    empty = F.array().cast("array<struct<gt_id:string,iou:double,area:double>>")
+    rows = dt.select(*KEYS, "seg_id", "score", F.col("area").cast("double").alias("area")).join(candidates, [*KEYS, "seg_id"], "left")
+    order = F.struct((-F.col("score")).alias("order"), "seg_id", "score", "area", F.coalesce("all", empty).alias("all"))
+    pages = rows.groupBy(*KEYS).agg(F.array_sort(F.collect_list(order)).alias("found"))
+    settings = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(r).alias("range"), F.lit(a).alias("low"), F.lit(b).alias("high")) for t in THRESHOLDS for r, (a, b) in RANGES.items()])
+    each = pages.select("category", "found", F.explode(settings).alias("s"))
+
+    def outside(area):
+        return (area < F.col("s.low")) | (area > F.col("s.high"))
+
+    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<score:double,tp:bigint,fp:bigint>>").alias("out"))
+
+    def step(acc, d):
+        left = F.filter(d["all"], lambda c: (c["iou"] >= F.col("s.threshold") - 1e-10) & ~F.array_contains(acc["used"], c["gt_id"]))
+        ordered = F.array_sort(F.transform(left, lambda c: F.struct(outside(c["area"]).alias("ignored"), (-c["iou"]).alias("far"), c["gt_id"].alias("gt_id"))))
+        best = F.get(ordered, F.lit(0))
+        hit = best.isNotNull()
+        tp = (hit & ~best["ignored"]).cast("long")
+        fp = (~hit & ~outside(d["area"])).cast("long")
+        row = F.struct(d["score"].alias("score"), F.coalesce(tp, F.lit(0)).cast("long").alias("tp"), fp.alias("fp"))
+        return F.struct(F.when(hit, F.array_append(acc["used"], best["gt_id"])).otherwise(acc["used"]).alias("used"), F.array_append(acc["out"], row).alias("out"))
+
+    folded = each.select("category", "s.threshold", "s.range", F.explode(F.aggregate("found", start, step)["out"]).alias("o"))
+    return folded.groupBy("category", "threshold", "range", F.col("o.score").alias("score")).agg(F.sum("o.tp").alias("tp"), F.sum("o.fp").alias("fp"))
+
+
+def coco_ap(gt: DataFrame, dt: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(metric, value): average precision and recall over thresholds and ranges of areas; -1 where no truth is.
+
+    Precision is read at 101 recalls from its envelope. Predictions of one score enter together, so curves have a
+    point for each distinct score, however many predictions there are.
+    """
+    kinds = ["category", "threshold", "range"]
+    found = greedy_matches(gt, dt, pairs)
+    inside = [F.count(F.when((F.col("area") >= a) & (F.col("area") <= b), 1)).alias(r) for r, (a, b) in RANGES.items()]
+    wide = gt.groupBy("category").agg(*inside)
+    truths = wide.select("category", F.inline(F.array(*[F.struct(F.lit(r).alias("range"), F.col(r).alias("n")) for r in RANGES]))).where("n > 0")
+    down = W.partitionBy(*kinds).orderBy(F.desc("score"))
+    curve = found.join(truths, ["category", "range"]).select(*kinds, "score", "n", F.sum("tp").over(down).alias("tp"), F.sum("fp").over(down).alias("fp")).where("tp + fp > 0")
+    curve = curve.select(*kinds, "score", (F.col("tp") / F.col("n")).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    envelope = F.max("precision").over(W.partitionBy(*kinds).orderBy("score"))
+    # Of the recalls 0, 0.01 .. 1, those that a point is the first to reach.
+    upto, before = F.floor(F.col("recall") * 100 + 1e-9), F.lag(F.floor(F.col("recall") * 100 + 1e-9), 1, -1).over(down)
+    parts = curve.select(*kinds, "recall", (envelope * (upto - before)).alias("part"))
+    ones = parts.groupBy(*kinds).agg((F.sum("part") / 101).alias("ap"), F.max("recall").alias("ar"))
+    every = truths.select("category", "range", F.explode(F.array(*map(F.lit, THRESHOLDS))).alias("threshold"))
+    scores = every.join(ones, kinds, "left").select(*kinds, F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("ar", F.lit(0.0)).alias("ar"))
+    mean = lambda value, when: F.round(F.coalesce(F.avg(F.when(when, F.col(value))), F.lit(-1.0)), 6)
+    at = lambda r: F.col("range") == r
+    named = {"AP all": mean("ap", at("all")), "AP 0.50 all": mean("ap", at("all") & (F.col("threshold") == 0.5)), "AP 0.75 all": mean("ap", at("all") & (F.col("threshold") == 0.75))}
+    named |= {f"AP {r}": mean("ap", at(r)) for r in ("small", "medium", "large")} | {f"AR {r}": mean("ar", at(r)) for r in RANGES}
+    total = scores.agg(*[v.alias(k) for k, v in named.items()])
+    return total.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(f"`{k}`").alias("value")) for k in named])))

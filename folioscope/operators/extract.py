@@ -23,17 +23,23 @@ def flatten_tree(docs: DataFrame) -> DataFrame:
     return words.where("text != ''")
 
 
-def line_filter(docs: DataFrame, length: int) -> DataFrame:
-    """Lines of at least so many characters."""
-    lines = docs.where("text is not null").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return lines.where(F.length("text") >= max(length, 1))
+def line_filter(lines: DataFrame, length: int, width: int, height: int) -> DataFrame:
+    """Lines of at least so many characters and pixels; those without extent go in any case."""
+    wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return lines.where((F.length("text") >= length) & (wide >= width) & (high >= height) & (wide > 0) & (high > 0))
 
 
-def textequiv_pick(turns: DataFrame, index: int) -> DataFrame:
-    """The alternative with the index asked for, the first of several; rows without it go."""
-    alternatives = F.array(F.struct(F.lit(0).alias("index"), F.col("text").alias("unicode")), F.struct(F.lit(1).alias("index"), F.concat("text", F.lit("*")).alias("unicode")))
-    picked = F.filter(alternatives, lambda e: e["index"] == index)
-    return turns.select(F.col("conv_id").alias("page_id"), F.col("turn").alias("line"), F.get(picked, F.lit(0))["unicode"].alias("text")).where("text is not null")
+def textequiv_pick(rows: DataFrame, choice: str | int) -> DataFrame:
+    """The text of the first or last alternative, or of the first with an index; segments without any have ''.
+
+    With an index that no alternative has, the segment goes. Alternatives are (index, unicode) in document order.
+    """
+    listed = F.col("alternatives")
+    picked = {"first": F.get(listed, F.lit(0)), "last": F.get(F.reverse(listed), F.lit(0))}.get(choice)
+    if picked is None:
+        picked = F.get(F.filter(listed, lambda e: e["index"] == choice), F.lit(0))
+    none = listed.isNull() | (F.size(listed) == 0)
+    return rows.select("page_id", "line", F.when(none, "").otherwise(picked["unicode"]).alias("text")).where("text is not null")
 
 
 def class_filter(segments: DataFrame, classes: list[str] | None = None) -> DataFrame:
@@ -80,10 +86,21 @@ def subtype_resolve(rows: DataFrame, known: list[str]) -> DataFrame:
     )
 
 
-def category_map(segments: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """Foreign categories as region classes; unmapped ones get none. The map is a bounded parameter."""
+def category_map(segments: DataFrame, mapping: dict[str, str], source: str = "custom") -> DataFrame:
+    """Foreign categories as region classes and subtypes; unmapped ones get none.
+
+    A mapped value of exactly two parts around a colon has a subtype, any other is a class alone. With ``source``
+    "PAGE" the categories are classes already and pass unchanged. The map is a bounded parameter.
+    """
+    if source == "PAGE":
+        return segments.select("page_id", "seg_id", F.col("seg_class").alias("mapped_class"), F.col("subtype").alias("mapped_type"))
     table = F.create_map(*[F.lit(x) for pair in sorted(mapping.items()) for x in pair])
-    return segments.select("page_id", "seg_id", F.try_element_at(table, F.col("subtype")).alias("mapped"))
+    value = F.try_element_at(table, F.col("subtype"))
+    two = F.size(F.split(value, ":")) == 2
+    return segments.select(
+        "page_id", "seg_id", F.when(two, F.get(F.split(value, ":"), F.lit(0))).otherwise(value).alias("mapped_class"),
+        F.when(two, F.get(F.split(value, ":"), F.lit(1))).alias("mapped_type"),
+    )
 
 
 def color_decode(colors: DataFrame) -> DataFrame:

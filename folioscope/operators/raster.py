@@ -1,8 +1,14 @@
-"""Rasters as pixel tables (page_id, x, y, value)."""
+"""Rasters as pixel tables (page_id, x, y, value), and whole small images where pixels depend on their neighbours."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from ..functions import rect
 
 
 def pixels(images: DataFrame, key: str, column: str, width: int) -> DataFrame:
@@ -42,3 +48,71 @@ def shrink_to_foreground(raster: DataFrame, boxes: DataFrame) -> DataFrame:
     return raster.where("fg").join(boxes, "page_id").where(inside).groupBy("page_id", "box_id").agg(
         F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")
     )
+
+
+def pack(channels: DataFrame) -> DataFrame:
+    """(page_id, x, y, color, hex): red, green, blue and, if there, alpha packed to one number, and its six or eight digits."""
+    names = [c for c in ("r", "g", "b", "a") if c in channels.columns]
+    color = F.lit(0).cast("long")
+    for c in names:
+        color = F.shiftleft(color, 8).bitwiseOR(F.col(c).cast("long"))
+    return channels.select("page_id", "x", "y", color.alias("color"), F.lpad(F.hex(color), 2 * len(names), "0").alias("hex"))
+
+
+def components(images: DataFrame, key: str, column: str, width: int) -> DataFrame:
+    """(page_id, root, n, x0, y0, x1, y1) of the parts of the foreground, pixels touching at sides or corners.
+
+    ``root`` is the least pixel of a part. All images of a batch are labelled together, by the least label around.
+    """
+
+    def batches(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in found:
+            if not len(batch):
+                continue
+            fg = np.stack([np.asarray(v, float) for v in batch["pixels"]]).reshape(len(batch), -1, width) > 0
+            size = fg[0].size
+            label = np.where(fg, np.arange(size).reshape(fg.shape[1:])[None], size)
+            while True:
+                padded = np.pad(label, ((0, 0), (1, 1), (1, 1)), constant_values=size)
+                around = np.minimum.reduce([padded[:, dy : dy + fg.shape[1], dx : dx + width] for dy in range(3) for dx in range(3)])
+                lower = np.where(fg, np.minimum(label, around), size)
+                if (lower == label).all():
+                    break
+                label = lower
+            image, y, x = np.nonzero(fg)
+            rows = pd.DataFrame({"page_id": batch["page_id"].to_numpy()[image], "root": label[image, y, x], "x": x, "y": y})
+            out = rows.groupby(["page_id", "root"], sort=False).agg(n=("x", "size"), x0=("x", "min"), y0=("y", "min"), x1=("x", "max"), y1=("y", "max"))
+            yield out.reset_index()
+
+    rows = images.where(F.size(column) > 0).select(F.col(key).cast("long").alias("page_id"), F.col(column).alias("pixels"))
+    return rows.mapInPandas(batches, "page_id long, root long, n long, x0 long, y0 long, x1 long, y1 long")
+
+
+def contour_filter(parts: DataFrame, pixels: int, least: int, percent: float) -> DataFrame:
+    """Parts kept, numbered as regions of their page: those too small both in pixels and in share of the page go."""
+    kept = parts.where(~((F.col("n") < least) & (F.col("n") * 100 < percent * pixels)))
+    k = F.row_number().over(W.partitionBy("page_id").orderBy("root"))
+    return kept.select("page_id", F.concat(F.lit("region_"), k.cast("string")).alias("seg_id"), *rect.CORNERS, F.col("n").alias("area"))
+
+
+def component_scale(parts: DataFrame) -> DataFrame:
+    """Glyph scales from the sizes of components, 43 for pages with one component."""
+    scale = F.sqrt(3 * F.col("n"))
+    fitting = F.when((scale > 5) & (scale < 100), scale)
+    return parts.groupBy("page_id").agg(F.when(F.count("*") > 1, F.coalesce(F.floor(F.percentile(fitting, 0.5)), F.lit(43))).otherwise(F.lit(43)).cast("int").alias("scale"))
+
+
+def painter_mask(segments: DataFrame, colors: dict[str, int], cell: int) -> DataFrame:
+    """(page_id, cx, cy, color): cells of a mask, each with the colour of the segment drawn last over its corner.
+
+    Segments are drawn in the order of their ids; classes without a colour aren't drawn.
+    """
+    table = F.create_map(*[F.lit(x) for pair in sorted(colors.items()) for x in pair])
+    x0, y0, x1, y1 = rect.corners()
+    low = lambda v: F.ceil(F.greatest(v, F.lit(0)) / cell)
+    high = lambda v: F.ceil(v / cell) - 1
+    drawn = segments.withColumn("color", F.try_element_at(table, F.col("seg_class"))).where("color is not null")
+    drawn = drawn.where((high(x1) >= low(x0)) & (high(y1) >= low(y0)))
+    rows = drawn.select("page_id", "seg_id", "color", F.explode(F.sequence(low(x0), high(x1))).alias("cx"), low(y0).alias("y0"), high(y1).alias("y1"))
+    cells = rows.select("page_id", "seg_id", "color", "cx", F.explode(F.sequence("y0", "y1")).alias("cy"))
+    return cells.groupBy("page_id", "cx", "cy").agg(F.max_by("color", "seg_id").alias("color"))

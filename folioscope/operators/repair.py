@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions import rect
+from ..functions import rect, ring
 
 #: A smaller share of overlap leaves a pair undecided.
 SHARE = 0.9
@@ -54,7 +54,7 @@ def merge_targets(decided: DataFrame) -> DataFrame:
 
 
 def apply_merges(segments: DataFrame, decided: DataFrame) -> DataFrame:
-    """Merged segments leave, their targets grow to the joint box (approximate: the exact outline is a union)."""
+    """Merged segments leave, their targets' boxes grow to the joint box; outlines are joined by ``merge_outline``."""
     targets = merge_targets(decided)
     moved = segments.join(targets, ["page_id", "seg_id"])
     grown = moved.groupBy("page_id", F.col("target_id").alias("seg_id")).agg(*[(F.min if c[1] == "0" else F.max)(c).alias(f"m_{c}") for c in rect.CORNERS])
@@ -100,28 +100,23 @@ def line_actions(pairs: DataFrame) -> DataFrame:
     )
 
 
-def segment_validity(segments: DataFrame) -> DataFrame:
-    """(.., reason): the first thing wrong with an outline, null where nothing is."""
-    edge = 2 * ((F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")))
-    reason = (
-        F.when((F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0")), "empty")
-        .when((F.col("x0") < 0) | (F.col("y0") < 0), "negative")
-        .when(edge < 4, "too few points")
-    )
-    return segments.select("page_id", "seg_id", reason.alias("reason"))
+def segment_validity(outlines: DataFrame) -> DataFrame:
+    """(.., reason): the first thing wrong with an outline (ring), null where nothing is."""
+    return outlines.select("page_id", "seg_id", ring.problem(F.col("ring")).alias("reason"))
 
 
-def ensure_valid(segments: DataFrame) -> DataFrame:
-    """Negative corners raised to 0."""
-    return segments.select("page_id", "seg_id", *[F.greatest(c, F.lit(0)).alias(c) for c in rect.CORNERS])
+def ensure_valid(outlines: DataFrame) -> DataFrame:
+    """Negative points raised to 0, outlines of two points given a way back."""
+    return outlines.select("page_id", "seg_id", ring.serialize(ring.ensure_valid(F.col("ring"))).alias("points"))
 
 
-def clip_to_parent(segments: DataFrame, width: int, height: int) -> DataFrame:
-    """Segments cut to the page frame; those wholly outside become null outlines."""
-    most = {"x0": width, "x1": width, "y0": height, "y1": height}
-    cut = {c: F.least(F.greatest(c, F.lit(0)), F.lit(most[c])) for c in rect.CORNERS}
+def clip_to_parent(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """Children cut to their parents; those wholly outside become null outlines, those without a parent stay."""
+    side = parents.select("page_id", F.col("seg_id").alias("parent_id"), *[F.col(c).alias(f"p_{c}") for c in rect.CORNERS])
+    met = children.join(side, ["page_id", "parent_id"], "left")
+    cut = {c: (F.greatest if c[1] == "0" else F.least)(F.col(c), F.coalesce(f"p_{c}", c)) for c in rect.CORNERS}
     inside = (cut["x1"] > cut["x0"]) & (cut["y1"] > cut["y0"])
-    return segments.select("page_id", "seg_id", *[F.when(inside, cut[c]).alias(c) for c in rect.CORNERS])
+    return met.select("page_id", "seg_id", *[F.when(inside, cut[c]).alias(c) for c in rect.CORNERS])
 
 
 def parent_consistency(children: DataFrame, parents: DataFrame) -> DataFrame:
@@ -149,14 +144,6 @@ def neighbor_overlap(segments: DataFrame) -> DataFrame:
     return met.where(alike | inner).select("page_id", "a_seg_id", "b_seg_id", F.when(alike, "iou").otherwise("within").alias("kind"), F.round(value, 6).alias("value"))
 
 
-def simplify_guard(segments: DataFrame, tolerance: int) -> DataFrame:
-    """Whether an outline would be resampled at this distance; small, short or overlong ones are left alone."""
-    edge = 2 * ((F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")))
-    number = F.lit(4)
-    left = (F.lit(tolerance) <= 0) | (number < 10) | (edge < 4 * tolerance) | (edge > tolerance * number) | (F.sqrt(rect.area()) < 0.1 * tolerance)
-    return segments.select("page_id", "seg_id", (~left).alias("resample"))
-
-
 def project_bbox(children: DataFrame, padding: int, width: int, height: int) -> DataFrame:
     """Parents' boxes from their children, padded and cut to the page."""
     hull = children.groupBy("page_id", "parent_id").agg(*[(F.min if c[1] == "0" else F.max)(c).alias(c) for c in rect.CORNERS])

@@ -19,9 +19,11 @@ def text_attach(files: DataFrame, segments: DataFrame) -> DataFrame:
     return ranked.where("k = 1").select("path", "seg_id", (F.col("n") > 1).alias("ambiguous"))
 
 
-def text_insert(turns: DataFrame, new: str) -> DataFrame:
-    """A new first alternative, stripped, before those there are."""
-    return turns.select(F.col("conv_id").alias("page_id"), "turn", F.concat(F.array(F.trim(F.lit(new))), F.array("text")).alias("alternatives"))
+def text_insert(segments: DataFrame, texts: DataFrame) -> DataFrame:
+    """File contents, stripped, as a new first alternative before those there are; segments without a file stay."""
+    new = texts.select("page_id", "turn", F.btrim("content", F.lit(" \t\r\n")).alias("new"))
+    rows = segments.join(new, ["page_id", "turn"], "left")
+    return rows.select("page_id", "turn", F.when(F.col("new").isNotNull(), F.array_prepend("alternatives", F.col("new"))).otherwise(F.col("alternatives")).alias("alternatives"))
 
 
 def update_counts(segments: DataFrame, updated: DataFrame) -> DataFrame:

@@ -88,8 +88,10 @@ def _colors(spark, sf):
 
 
 def _files(spark, sf):
-    seg = layout(spark, sf, "seg_dup").where("x0 % 3 = 0").join(_pages(spark, sf), "page_id")
-    return seg.select("page_name", F.concat("page_name", F.lit("_"), "seg_id", F.lit(".gt.txt")).alias("path"))
+    """A file for each segment, and one for each page whose segment is unknown."""
+    known = layout(spark, sf, "seg_dup").join(_pages(spark, sf), "page_id").select("page_name", "seg_id")
+    every = known.unionByName(_pages(spark, sf).select("page_name", F.lit("unknown").alias("seg_id")))
+    return every.select("page_name", F.concat("page_name", F.lit("_"), "seg_id", F.lit(".gt.txt")).alias("path"))
 
 
 def _targets(spark, sf):
@@ -97,6 +99,18 @@ def _targets(spark, sf):
     return seg.select("page_name", "seg_id", F.when(F.col("seg_class") == "TextRegion", 0).otherwise(1).alias("level_rank"), F.col("x0").alias("pos"))
 
 
+def _texts(spark, sf):
+    return layout(spark, sf, "seg_line").withColumn("text", F.repeat(F.lit("x"), (F.col("x0") % 30).cast("int")))
+
+
+def _alternatives(spark, sf):
+    """Lines with no alternative, two, or one without the index 1."""
+    one = lambda k, text: F.struct(F.lit(k).alias("index"), text.alias("unicode"))
+    text = F.col("text")
+    listed = F.when(F.col("turn") % 3 == 0, F.array().cast("array<struct<index:int,unicode:string>>")).when(F.col("turn") % 3 == 1, F.array(one(0, text), one(1, F.concat(text, F.lit("*"))))).otherwise(F.array(one(0, text)))
+    return _table(spark, sf, "conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("line"), listed.alias("alternatives"))
+
+
 def _dup(spark, sf):
     return layout(spark, sf, "seg_dup")
 
@@ -112,7 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "over_under_image": lambda s, d: ev.over_under_image(_counted(s, d)),
     "pr_image": lambda s, d: ev.pr_image(_counted(s, d)),
     "pixel_image": lambda s, d: ev.pixel_image(_counted(s, d)),
-    "category_stats": lambda s, d: ev.category_stats(_counted(s, d)),
+    "category_stats": lambda s, d: ev.category_stats(ev.counts(*_matched(s, d), by=["category"])),
     "score_rank": lambda s, d: ev.score_rank(_notes(s, d)[1]),
     "category_encode": lambda s, d: ev.category_encode(_notes(s, d)[0]),
     "dense_ids": lambda s, d: ev.dense_ids(_notes(s, d)[0]),
@@ -125,19 +139,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merge_cascade": lambda s, d: re.merge_cascade(_decided(s, d), layout(s, d, "seg_line")),
     "line_pairs": lambda s, d: _line_pairs(s, d).select("page_id", "a_line", "b_line", "a_in_b", "b_in_a"),
     "line_actions": lambda s, d: re.line_actions(_line_pairs(s, d)),
-    "segment_validity": lambda s, d: re.segment_validity(layout(s, d, "seg_dt")),
-    "ensure_valid": lambda s, d: re.ensure_valid(layout(s, d, "seg_dt")),
-    "clip_to_parent": lambda s, d: re.clip_to_parent(layout(s, d, "seg_dt"), WIDTH, HEIGHT),
+    "clip_to_parent": lambda s, d: re.clip_to_parent(_children(s, d), layout(s, d, "seg_gt")),
     "parent_consistency": lambda s, d: re.parent_consistency(_children(s, d), layout(s, d, "seg_gt")),
-    "error_resolve": lambda s, d: re.error_resolve(re.segment_validity(layout(s, d, "seg_dt")).where("reason is not null"), _dup(s, d)),
     "neighbor_overlap": lambda s, d: re.neighbor_overlap(layout(s, d, "seg_gt")),
-    "simplify_guard": lambda s, d: re.simplify_guard(layout(s, d, "seg_gt"), 20),
     "project_bbox": lambda s, d: re.project_bbox(layout(s, d, "seg_line").withColumnRenamed("region_id", "parent_id"), 5, WIDTH, HEIGHT),
     "attr_inherit": lambda s, d: ex.attr_inherit(_levels(s, d)),
     "flatten_tree": lambda s, d: ex.flatten_tree(_table(s, d, "documents")),
-    "line_filter": lambda s, d: ex.line_filter(_table(s, d, "documents"), 20),
-    "textequiv_pick": lambda s, d: ex.textequiv_pick(_table(s, d, "conversations"), 1),
-    "text_insert": lambda s, d: tx.text_insert(_table(s, d, "conversations"), " new text "),
+    "line_filter": lambda s, d: ex.line_filter(_texts(s, d), 8, 60, 15).select("page_id", "line_id", "text"),
+    "textequiv_pick": lambda s, d: ex.textequiv_pick(_alternatives(s, d), 1),
+    "textequiv_last": lambda s, d: ex.textequiv_pick(_alternatives(s, d), "last"),
+    "text_insert": lambda s, d: tx.text_insert(
+        _table(s, d, "conversations").select(F.col("conv_id").alias("page_id"), "turn", F.array("text").alias("alternatives")),
+        _table(s, d, "conversations").where("turn % 2 = 0").select(F.col("conv_id").alias("page_id"), "turn", F.concat(F.lit(" new "), F.col("turn").cast("string"), F.lit(" \n")).alias("content")).distinct(),
+    ),
     "class_filter": lambda s, d: ex.class_filter(layout(s, d, "seg_gt"), ["TextRegion", "paragraph"]).select("page_id", "seg_id"),
     "page_numeric_id": lambda s, d: ex.page_numeric_id(_pages(s, d).withColumn("ordinal", F.lit(0))),
     "dpi_norm": lambda s, d: ex.dpi_norm(_pages(s, d).withColumn("resolution", F.col("page_id") % 400 + 1).withColumn("unit", F.when(F.col("page_id") % 2 == 0, "cm").otherwise("inch"))),
@@ -160,7 +174,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "replace_page": lambda s, d: tx.replace_page(_pages(s, d).select("page_id", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height")), layout(s, d, "seg_dt")),
     "text_attach": lambda s, d: tx.text_attach(_files(s, d), _targets(s, d)),
     "text_update_counts": lambda s, d: tx.update_counts(_dup(s, d), _dup(s, d).where("x0 % 3 = 0")),
-    "mask_pack": lambda s, d: _raster(s, d),
     "mask_colors": lambda s, d: ra.mask_colors(_raster(s, d), [0]),
     "class_masks": lambda s, d: ra.class_masks(_raster(s, d), [0]),
     "glyph_scale": lambda s, d: ra.glyph_scale(layout(s, d, "seg_gt").select("page_id", ((F.col("x1") - F.col("x0")) * 7).alias("n"))),

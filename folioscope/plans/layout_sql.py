@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fixtures import LAYOUT
+from .more_queries import more_sql
 
 _NOTES = """,
 ann_gt AS (SELECT page_id, concat_ws('.', seg_class, nullif(subtype, '')) AS category, seg_id, coalesce(nullif(conf, 0), 1.0) AS score, x0, y0, x1, y1, (x1 - x0) * (y1 - y0) AS area FROM seg_gt WHERE x1 > x0 AND y1 > y0),
@@ -107,21 +108,18 @@ SELECT category, """ + ", ".join(
     "line_actions": _with(_LINES, """SELECT page_id, CASE WHEN a_in_b OR b_in_a THEN 'merge' ELSE 'split' END AS action,
  CASE WHEN a_in_b OR b_in_a THEN CASE WHEN aa > ba THEN b_line ELSE a_line END ELSE CASE WHEN la > lb THEN a_line ELSE b_line END END AS line_id,
  CASE WHEN a_in_b OR b_in_a THEN CASE WHEN aa > ba THEN a_line ELSE b_line END ELSE CASE WHEN la > lb THEN b_line ELSE a_line END END AS other_id FROM lp"""),
-    "segment_validity": _with("", "SELECT page_id, seg_id, CASE WHEN x1 <= x0 OR y1 <= y0 THEN 'empty' WHEN x0 < 0 OR y0 < 0 THEN 'negative' WHEN 2 * (x1 - x0 + y1 - y0) < 4 THEN 'too few points' END AS reason FROM seg_dt"),
-    "ensure_valid": _with("", "SELECT page_id, seg_id, greatest(x0, 0) AS x0, greatest(y0, 0) AS y0, greatest(x1, 0) AS x1, greatest(y1, 0) AS y1 FROM seg_dt"),
-    "clip_to_parent": _with("", "SELECT page_id, seg_id, CASE WHEN k THEN a END AS x0, CASE WHEN k THEN b END AS y0, CASE WHEN k THEN c END AS x1, CASE WHEN k THEN d END AS y1 FROM (SELECT *, c > a AND d > b AS k FROM (SELECT page_id, seg_id, greatest(0, least(1400, x0)) AS a, greatest(0, least(900, y0)) AS b, greatest(0, least(1400, x1)) AS c, greatest(0, least(900, y1)) AS d FROM seg_dt))"),
+    "clip_to_parent": _with("", "SELECT page_id, seg_id, CASE WHEN k THEN a END AS x0, CASE WHEN k THEN b END AS y0, CASE WHEN k THEN c END AS x1, CASE WHEN k THEN d END AS y1 FROM (SELECT *, c > a AND d > b AS k FROM (SELECT c.page_id, c.seg_id, greatest(c.x0, p.x0) AS a, greatest(c.y0, p.y0) AS b, least(c.x1, p.x1) AS c, least(c.y1, p.y1) AS d FROM seg_dt c JOIN seg_gt p ON p.page_id = c.page_id AND p.seg_id = c.seg_id[1:-2]))"),
     "parent_consistency": _with("", "SELECT c.page_id, p.seg_id AS parent_id, c.seg_id, CASE WHEN c.x0 >= p.x0 AND c.y0 >= p.y0 AND c.x1 <= p.x1 AND c.y1 <= p.y1 THEN 'none' WHEN c.x0 < p.x1 AND p.x0 < c.x1 AND c.y0 < p.y1 AND p.y0 < c.y1 THEN 'clip' ELSE 'drop' END AS action FROM seg_dt c JOIN seg_gt p ON p.page_id = c.page_id AND p.seg_id = c.seg_id[1:-2]"),
-    "error_resolve": _with("", "SELECT d.page_id, d.seg_id, CASE WHEN d.x1 <= d.x0 OR d.y1 <= d.y0 THEN 'empty' ELSE 'negative' END AS reason, EXISTS (SELECT 1 FROM seg_dup s WHERE s.page_id = d.page_id AND s.seg_id = d.seg_id) AS found FROM seg_dt d WHERE d.x1 <= d.x0 OR d.y1 <= d.y0 OR d.x0 < 0 OR d.y0 < 0"),
     "neighbor_overlap": _with("", """, n AS (SELECT a.page_id, a.seg_id AS a_seg_id, b.seg_id AS b_seg_id, a.seg_class = b.seg_class AS alike, (a.x1 - a.x0) * (a.y1 - a.y0) AS aa, (b.x1 - b.x0) * (b.y1 - b.y0) AS ba,
  (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS inter FROM seg_gt a JOIN seg_gt b ON a.page_id = b.page_id AND a.seg_id < b.seg_id WHERE a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)
 SELECT page_id, a_seg_id, b_seg_id, CASE WHEN alike THEN 'iou' ELSE 'within' END AS kind, round(CASE WHEN alike THEN inter::DOUBLE / (aa + ba - inter) ELSE least(aa, ba)::DOUBLE / greatest(aa, ba) END, 6) AS value FROM n WHERE alike OR inter = least(aa, ba)"""),
-    "simplify_guard": _with("", "SELECT page_id, seg_id, FALSE AS resample FROM seg_gt"),
     "project_bbox": _with("", "SELECT page_id, region_id AS parent_id, greatest(min(x0) - 5, 0) AS x0, greatest(min(y0) - 5, 0) AS y0, least(max(x1) + 5, 1400) AS x1, least(max(y1) + 5, 900) AS y1 FROM seg_line GROUP BY ALL"),
     "attr_inherit": _with("", f"SELECT page_id, seg_id, coalesce({_level('x0', 3, 'own')}, {_level('y0', 5, 'region')}, {_level('page_id', 2, 'page')}) AS value FROM seg_dup"),
     "flatten_tree": f"WITH {_LINE}, w AS (SELECT page_id, line, unnest(string_split(text, ' ')) AS word_text, unnest(range(0, len(string_split(text, ' ')))) AS word FROM ln) SELECT page_id, line::INT AS line, word::INT AS word, word_text AS text FROM w WHERE word_text <> ''",
-    "line_filter": f"WITH {_LINE} SELECT page_id, line::INT AS line, text FROM ln WHERE length(text) >= 20",
-    "textequiv_pick": "SELECT conv_id AS page_id, turn AS line, text || '*' AS text FROM conversations WHERE text IS NOT NULL",
-    "text_insert": "SELECT conv_id AS page_id, turn, ['new text', text] AS alternatives FROM conversations",
+    "line_filter": _with("", "SELECT page_id, line_id, repeat('x', x0 % 30) AS text FROM seg_line WHERE x0 % 30 >= 8 AND x1 - x0 >= 60 AND y1 - y0 >= 15"),
+    "textequiv_pick": "SELECT conv_id AS page_id, turn AS line, CASE WHEN turn % 3 = 0 THEN '' ELSE text || '*' END AS text FROM conversations WHERE turn % 3 = 0 OR (turn % 3 = 1 AND text IS NOT NULL)",
+    "textequiv_last": "SELECT conv_id AS page_id, turn AS line, CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN text || '*' ELSE text END AS text FROM conversations WHERE turn % 3 = 0 OR text IS NOT NULL",
+    "text_insert": "SELECT conv_id AS page_id, turn, CASE WHEN turn % 2 = 0 THEN ['new ' || turn, text] ELSE [text] END AS alternatives FROM conversations",
     "class_filter": _with("", "SELECT page_id, seg_id FROM seg_gt WHERE seg_class = 'TextRegion'"),
     "page_numeric_id": _with(_PAGES, "SELECT page_name, page_id AS page_number FROM pages_"),
     "dpi_norm": _with(_PAGES, "SELECT page_id, (CASE WHEN page_id % 400 = 0 THEN NULL WHEN page_id % 2 = 0 THEN round_even((page_id % 400 + 1) * 2.54, 0) ELSE page_id % 400 + 1 END)::INT AS dpi FROM pages_"),
@@ -129,7 +127,7 @@ SELECT page_id, a_seg_id, b_seg_id, CASE WHEN alike THEN 'iou' ELSE 'within' END
     "feature_extension": _with(_PAGES, "SELECT page_id, CASE WHEN features LIKE '%binarized%' THEN '.bin' WHEN features LIKE '%grayscale_normalized%' THEN '.nrm' ELSE '.raw' END AS extension FROM pages_"),
     "output_path": _with("", "SELECT page_id, line_id, 'FILE_' || page_id || '_' || region_id || '_' || line_id || '.raw.png' AS path FROM seg_line"),
     "subtype_resolve": _with("", "SELECT page_id, seg_id, CASE WHEN subtype IN ('paragraph', 'heading') THEN subtype WHEN subtype IS NOT NULL THEN 'other' END AS type, CASE WHEN subtype NOT IN ('paragraph', 'heading') THEN 'subtype:' || subtype END AS custom FROM seg_gt"),
-    "category_map": _with("", "SELECT page_id, seg_id, CASE WHEN subtype IN ('paragraph', 'heading') THEN 'TextRegion:' || subtype END AS mapped FROM seg_gt"),
+    "category_map": _with("", "SELECT page_id, seg_id, CASE WHEN subtype IN ('paragraph', 'heading') THEN 'TextRegion' END AS mapped_class, CASE WHEN subtype IN ('paragraph', 'heading') THEN subtype END AS mapped_type FROM seg_gt"),
     "color_decode": f"WITH {_COLORS} SELECT label, color, ('0x' || color[1:2])::BIGINT AS red, ('0x' || color[3:4])::BIGINT AS green, ('0x' || color[5:6])::BIGINT AS blue, ('0x' || color)::BIGINT AS packed FROM colors",
     "colordict_inverse": f"WITH {_COLORS} SELECT label, min(color) AS color FROM colors WHERE label <> '' GROUP BY label",
     "coco_export": _with("", "SELECT page_id AS image_id, seg_id, [x0, y0, x1, y0, x1, y1, x0, y1] AS ring, [x0, y0, x1 - x0, y1 - y0] AS bbox, (x1 - x0) * (y1 - y0) AS area, 0 AS iscrowd FROM seg_gt"),
@@ -142,15 +140,15 @@ SELECT page_id, a_seg_id, b_seg_id, CASE WHEN alike THEN 'iou' ELSE 'within' END
     "poly_bbox": _with("", "SELECT page_id, seg_id, x0::DOUBLE AS x, y0::DOUBLE AS y, (x1 - x0)::DOUBLE AS w, (y1 - y0)::DOUBLE AS h FROM seg_gt"),
     "coords_rel_abs": _with(", moved AS (SELECT page_id, seg_id, x0 + 10 AS x0, y0 + 20 AS y0, x1 + 10 AS x1, y1 + 20 AS y1 FROM seg_gt)", f"SELECT page_id, seg_id, {_RING} AS points FROM moved"),
     "replace_page": _with("", "SELECT page_id, 1400 AS width, 900 AS height, seg_id, seg_class FROM seg_dt WHERE page_id IN (SELECT page_id FROM seg_gt)"),
-    "text_attach": _with(_PAGES, """, f AS (SELECT page_id, page_name || '_' || seg_id AS stem FROM seg_dup JOIN pages_ USING (page_id) WHERE x0 % 3 = 0),
+    "text_attach": _with(_PAGES, """, f AS (SELECT page_id, page_name || '_' || seg_id AS stem FROM seg_dup JOIN pages_ USING (page_id)),
  m AS (SELECT DISTINCT stem, s.seg_id, s.seg_class, s.x0 FROM f JOIN seg_dup s USING (page_id) WHERE suffix(stem, s.seg_id)),
  r AS (SELECT stem, seg_id, row_number() OVER (PARTITION BY stem ORDER BY CASE seg_class WHEN 'TextRegion' THEN 0 ELSE 1 END, x0, seg_id) AS k, count(*) OVER (PARTITION BY stem) AS n FROM m)
 SELECT stem || '.gt.txt' AS path, seg_id, n > 1 AS ambiguous FROM r WHERE k = 1"""),
     "text_update_counts": _with("", "SELECT seg_class, count(*) FILTER (x0 % 3 = 0) AS updated, count(*) FILTER (x0 % 3 <> 0) AS missing FROM seg_dup GROUP BY seg_class"),
-    "mask_pack": f"WITH {_PIXELS} SELECT page_id, x::INT AS x, y::INT AS y, fg, color FROM px",
     "mask_colors": f"WITH {_PIXELS} SELECT color, count(*) AS n, color = 0 AS background FROM px GROUP BY color",
     "class_masks": f"WITH {_PIXELS} SELECT page_id, color, min(x)::INT AS x0, min(y)::INT AS y0, max(x)::INT AS x1, max(y)::INT AS y1, count(*) AS area FROM px WHERE fg AND color <> 0 GROUP BY ALL",
     "glyph_scale": _with("", "SELECT page_id, coalesce(floor(median(CASE WHEN v > 5 AND v < 100 THEN v END)), 43)::INT AS scale FROM (SELECT page_id, sqrt(3 * (x1 - x0) * 7) AS v FROM seg_gt) GROUP BY page_id"),
     "mask_foreground": f"WITH {_PIXELS}{_BOXES} SELECT page_id, box_id, count(*) AS n FROM px, boxes WHERE fg AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY ALL",
     "shrink_to_foreground": f"WITH {_PIXELS}{_BOXES} SELECT page_id, box_id, min(x)::INT AS x0, min(y)::INT AS y0, max(x)::INT AS x1, max(y)::INT AS y1 FROM px, boxes WHERE fg AND x BETWEEN boxes.x0 AND boxes.x1 AND y BETWEEN boxes.y0 AND boxes.y1 GROUP BY ALL",
 }
+ORACLE_SQL |= more_sql(_DECIDE, _LINES)

@@ -1,6 +1,11 @@
-"""Registered layout queries and their SQL."""
+"""All layout queries and their SQL."""
 
-from .layout_queries import QUERIES
+from __future__ import annotations
+
+from .layout_queries import QUERIES as _LAYOUT
 from .layout_sql import ORACLE_SQL
+from .more_queries import QUERIES as _MORE
+
+QUERIES = _LAYOUT | _MORE
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
