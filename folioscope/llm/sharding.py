@@ -87,15 +87,15 @@ def links(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     whole = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(long)).alias("line")).select(
         "doc_id", F.xxhash64(F.trim("line")).alias("passage")
     )
-    pairs = common.durable(_shingles(known).union(whole).distinct())
-    # Aggregated and joined back, not by a window: a passage in a third of all documents is then no single task.
-    shared = (
-        pairs.groupBy("passage")
-        .agg(F.count("*").alias("size"), *(F.expr(f"bit_xor(xxhash64({salt}, doc_id))").alias(f"x{salt}") for salt in (1, 2)))
-        .where("size > 1")
-    )
+    pairs = _shingles(known).union(whole).distinct()
+    # Counted and joined back, not by a window, so that a passage in a third of all documents is no single task. Most
+    # passages are in one document: only the others get past the count, by which signatures are made.
+    shared = pairs.groupBy("passage").agg(F.count("*").alias("size")).where("size > 1")
+    held = common.durable(pairs.join(shared, "passage").select("passage", "doc_id", "size"))
+    common.release(held)
+    signs = held.groupBy("passage").agg(*(F.expr(f"bit_xor(xxhash64({salt}, doc_id))").alias(f"x{salt}") for salt in (1, 2)))
     return (
-        pairs.join(shared, "passage")
+        held.join(signs, "passage")
         .groupBy("doc_id", "size", "x1", "x2")
         .agg(F.min("passage").alias("passage"), F.count("*").alias("weight"))
         .select("doc_id", "passage", "size", "weight")
@@ -185,6 +185,7 @@ def assign(
     ``rounds`` bounds the rounds; None goes on to the end.
     """
     edges = common.durable(links(docs, min_chars))
+    common.release(edges)
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     n = ids.count()
     if not n:
