@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from . import textkit
+from . import common, textkit
 
 #: Path of the vocabulary: a public file of ranks, token by token in base64.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -297,7 +297,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, keep_text: bool = False) ->
                     names=schema.names,
                 )
 
-    return source.mapInArrow(batches, schema)
+    return source.mapInArrow(common.lean(batches), schema)
 
 
 def _slices(batch: pa.RecordBatch, limit: int = 1_000_000) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -325,4 +325,4 @@ def decode(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 [*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(texts, pa.string())], names=schema.names
             )
 
-    return source.mapInArrow(batches, schema)
+    return source.mapInArrow(common.lean(batches), schema)

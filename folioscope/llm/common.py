@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -33,6 +37,21 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def lean(batches: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """batches, giving a worker's free memory back once its task is done: workers are used again by later stages."""
+
+    def run(found: Iterator) -> Iterator:
+        try:
+            yield from batches(found)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:
     """At most ``rows`` rows, those with the lowest seeded hashes of ``key``: the same rows in any partitioning.
 

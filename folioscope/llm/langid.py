@@ -204,7 +204,7 @@ def identify(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
                 names=["doc_id", "lang", "lang_pred", "confidence", "p_declared"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string")).mapInArrow(batches, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string")).mapInArrow(common.lean(batches), schema)
 
 
 def _judge(model: ByteCnn | None, texts: pa.Array, declared: list) -> list[pa.Array]:
@@ -239,4 +239,4 @@ def reject(docs: DataFrame, model: ByteCnn | None, confidence: float = REJECT_CO
             ]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(batches, schema)
+    return docs.mapInArrow(common.lean(batches), schema)

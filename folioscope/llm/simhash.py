@@ -201,7 +201,7 @@ def cell_edges(prints: np.ndarray, words: np.ndarray, masks: np.ndarray, pivots:
             lag += 1
         for k in np.flatnonzero(large):
             found.append(np.array(_forest(at[starts[k] : ends[k]], prints, words, table), np.int64).reshape(-1, 2))
-        if sum(map(len, found)) > 2_000_000:
+        if sum(map(len, found)) > 250_000 + 2 * len(found[0]):
             found = [np.unique(np.sort(np.concatenate(found), axis=1), axis=0)]
     return order[np.unique(np.sort(np.concatenate(found), axis=1), axis=0)]
 
@@ -226,7 +226,7 @@ def _prints(docs: DataFrame) -> DataFrame:
             )
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        batches, "doc_id long, node long, fa long, fb long, n long"
+        common.lean(batches), "doc_id long, node long, fa long, fb long, n long"
     )
 
 
@@ -271,8 +271,8 @@ def groups(docs: DataFrame) -> DataFrame:
         if held:
             yield _edges(np.concatenate(held), sets[held[0][0, 0] // width][0], pivots)
 
-    places = known.select("fa", "fb", "n").mapInArrow(placed, "place long, fa long, fb long, n long")
-    near = places.repartition(2 * len(sets) * width, "place").sortWithinPartitions("place").mapInArrow(compared, "a long, b long")
+    places = known.select("fa", "fb", "n").mapInArrow(common.lean(placed), "place long, fa long, fb long, n long")
+    near = places.repartition(2 * len(sets) * width, "place").sortWithinPartitions("place").mapInArrow(common.lean(compared), "a long, b long")
     roots = common.components(near)
     linked = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = linked.groupBy("root").agg(F.min("rep").alias("keep_id"), F.sum("copies").alias("size")).where("size > 1")

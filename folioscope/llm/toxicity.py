@@ -360,7 +360,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
                 names=["doc_id", "score", "hits", "terms"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.lean(batches), schema)
 
 
 def reject(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
@@ -373,4 +373,4 @@ def reject(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> D
             rows = scorer.score(batch.column(schema.names.index("text")))
             yield batch.filter(pa.array([r[0] < threshold for r in rows], pa.bool_()))
 
-    return docs.mapInArrow(batches, schema)
+    return docs.mapInArrow(common.lean(batches), schema)
