@@ -17,9 +17,9 @@ by about 64 bits, but their distances to a pivot by 8 in standard deviation, wit
 Each fingerprint is sent once for a set of keys, not for every key. Beyond ``CELL`` fingerprints a set holds keys with
 common bits, whose values part the fingerprints into cells that are compared apart.
 
-Within a key, pairs are compared in the order of their word counts, as far as these are within a fifth. Of keys that
-more than ``CROWD`` share, only a spanning forest of the near pairs is passed on, which keeps what is connected and
-stays linear for groups of thousands.
+Within a key, pairs are compared in the order of their word counts, as far as these are within a fifth, but for those
+that are linked already, by other keys or other members. So a group of thousands costs about what its members do, and a
+spanning forest of the near pairs is passed on, which keeps what is connected.
 
 Defined results: null texts and texts without a word have no fingerprint and are never grouped; a text of one word is
 fingerprinted by it; texts of any length are read whole (their word counts count up to 2**24 - 1, beyond which texts are
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import common, textkit
 
 BITS, RADIUS, PIVOTS, SEED = 128, 26, 4, 20260
-CELL, SETS, CROWD = 1 << 20, 32, 64
+CELL, SETS, CROWD = 1 << 20, 32, 512
 _RANK_BITS = 24
 MIN_LENGTH_RATIO = 0.8
 _COUNT_BITS = 24
@@ -163,28 +163,63 @@ def key_sets(parts: list[np.ndarray], common: int, at_least: int = SETS) -> list
     return out
 
 
-def _forest(member: np.ndarray, prints: np.ndarray, words: np.ndarray, table: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the near pairs among the members of one key, all pairs compared."""
-    edges, left = [], member
-    while len(left) > 1:
-        front, left = left[:1], left[1:]
-        while len(front) and len(left):
-            node, front = front[0], front[1:]
-            near = near_pairs(prints, words, table, np.full(len(left), node), left)
-            edges += [(int(node), int(x)) for x in left[near]]
-            front, left = np.concatenate([front, left[near]]), left[~near]
-    return edges
+def _linked(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label (the least row that each row is linked with) once the pairs (a, b) are links too."""
+    while True:
+        one, two = label[a], label[b]
+        apart = one != two
+        if not apart.any():
+            return label
+        a, b, low, high = a[apart], b[apart], np.minimum(one, two)[apart], np.maximum(one, two)[apart]
+        root = np.arange(len(label))
+        np.minimum.at(root, high, low)
+        label = root[label]
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _crowd(member: np.ndarray, label: np.ndarray, prints: np.ndarray, words: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """label with the links among the members of one key, each pair compared whose members aren't linked yet."""
+
+    # Members come in the order of their word counts; those of near copies are a stretch of it.
+    own = words[member]
+    first = np.searchsorted(own, own * MIN_LENGTH_RATIO * (1 - 1e-9), "left")
+    last = np.searchsorted(own, own / MIN_LENGTH_RATIO * (1 + 1e-9), "right")
+
+    def compare(some: np.ndarray, label: np.ndarray) -> np.ndarray:
+        size = last[some] - first[some]
+        i = np.repeat(member[some], size)
+        j = member[np.arange(len(i)) - np.repeat(np.cumsum(size) - size - first[some], size)]
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        near = near_pairs(prints, words, table, i, j)
+        return _linked(label, i[near], j[near])
+
+    # A few members first: in a group of copies they link nearly all, and few pairs are left.
+    for at in range(8):
+        if (label[member] == label[member[0]]).all():
+            return label
+        label = compare(np.array([at * len(member) // 8]), label)
+    _, inverse, size = np.unique(label[member], return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(inverse != size.argmax())
+    step = max(1, 200_000 // len(member))
+    for low in range(0, len(rest), step):
+        label = compare(rest[low : low + step], label)
+    return label
 
 
 def cell_edges(prints: np.ndarray, words: np.ndarray, masks: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Pairs (i, j) of near fingerprints that share the bits of one of the masks: all, or a forest of them in a crowd."""
+    """A forest (i, least j linked with it) of the near fingerprints that share the bits of one of the masks.
+
+    Pairs that are linked already, by keys before, aren't compared again.
+    """
     order = np.argsort(words, kind="stable")
     prints, words = np.ascontiguousarray(prints[order]), words[order]
     table, rank = pivot_table(prints, pivots), np.arange(len(order), dtype=np.uint64)
     low = np.uint64((1 << _RANK_BITS) - 1)
     # Of fingerprints in the order of their words, the first that is too long for a pair with k.
     reach = np.searchsorted(words, words / MIN_LENGTH_RATIO * (1 + 1e-9), "right")
-    found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+    label = np.arange(len(order))
     for mask in masks:
         # Sorted by key, then words. Keys are hashed to 40 bits: those that collide only add candidates.
         rows = np.sort(textkit.mix(textkit.mix(prints[:, 0] & mask[0]) + (prints[:, 1] & mask[1])) & ~low | rank)
@@ -193,17 +228,20 @@ def cell_edges(prints: np.ndarray, words: np.ndarray, masks: np.ndarray, pivots:
         ends = np.append(starts[1:], len(key))
         large = ends - starts > CROWD
         end = np.repeat(np.where(large, starts, ends), ends - starts)
-        far, i, lag = reach[at], np.arange(len(key)), 1
+        far, i, lag, found = reach[at], np.arange(len(key)), 1, []
         while len(i := i[i + lag < end[i]]) and len(i := i[at[i + lag] < far[i]]):
             a, b = at[i], at[i + lag]
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
             near = near_pairs(prints, words, table, a, b)
-            found.append(np.stack([a[near], b[near]], axis=1))
+            found.append(np.stack([a[near], b[near]]))
             lag += 1
+        if found:
+            label = _linked(label, *np.concatenate(found, axis=1))
         for k in np.flatnonzero(large):
-            found.append(np.array(_forest(at[starts[k] : ends[k]], prints, words, table), np.int64).reshape(-1, 2))
-        if sum(map(len, found)) > 250_000 + 2 * len(found[0]):
-            found = [np.unique(np.sort(np.concatenate(found), axis=1), axis=0)]
-    return order[np.unique(np.sort(np.concatenate(found), axis=1), axis=0)]
+            label = _crowd(at[starts[k] : ends[k]], label, prints, words, table)
+    child = np.flatnonzero(label != np.arange(len(label)))
+    return np.stack([order[child], order[label[child]]], axis=1)
 
 
 def nodes(prints: np.ndarray, counts: np.ndarray) -> np.ndarray:
