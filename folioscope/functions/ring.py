@@ -68,32 +68,3 @@ def contains_point(ring: Column, x: Column, y: Column) -> Column:
     after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
     crossed = F.zip_with(ring, after, lambda p, q: ((p.y > y) != (q.y > y)) & (x < (q.x - p.x) * (y - p.y) / (q.y - p.y) + p.x))
     return F.size(F.filter(crossed, lambda c: c)) % 2 == 1
-
-
-def crosses_itself(ring: Column) -> Column:
-    """Whether two edges that aren't neighbours cross."""
-    n = F.size(ring)
-    at = lambda k: F.get(ring, k % n)
-
-    def turn(p: Column, q: Column, r: Column) -> Column:
-        return F.signum((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x))
-
-    def cross(i: Column, j: Column) -> Column:
-        a, b, c, d = at(i), at(i + 1), at(j), at(j + 1)
-        apart = (j > i + 1) & ((j + 1) % n != i)
-        return apart & (turn(a, b, c) * turn(a, b, d) < 0) & (turn(c, d, a) * turn(c, d, b) < 0)
-
-    places = F.sequence(F.lit(0), n - 1)
-    return F.exists(places, lambda i: F.exists(places, lambda j: cross(i, j)))
-
-
-def problem(ring: Column) -> Column:
-    """The first thing wrong with an outline, null where nothing is."""
-    where = box(ring)
-    return (
-        F.when(ring.isNull() | (F.size(ring) < 3), "too few points")
-        .when(crosses_itself(ring), "self-intersection")
-        .when(area(ring) == 0, "empty")
-        .when((where["x0"] < 0) | (where["y0"] < 0), "negative")
-        .when(perimeter(ring) < 4, "too few points")
-    )

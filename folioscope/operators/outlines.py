@@ -129,22 +129,31 @@ def spread(segments: DataFrame, by: int) -> DataFrame:
     return _grouped(segments, ["page_id"], grown, "seg_id string, points string, area double")
 
 
-def resample(outline: Column, step: float) -> Column:
-    """Points at equal distances along a ring from its first one, as column functions."""
-    after = F.concat(F.slice(outline, 2, F.size(outline)), F.slice(outline, 1, 1))
-    edges = F.zip_with(outline, after, lambda p, q: F.struct(p.x.alias("x"), p.y.alias("y"), (q.x - p.x).alias("dx"), (q.y - p.y).alias("dy"), F.hypot(q.x - p.x, q.y - p.y).alias("size")))
-    zero = F.struct(F.lit(0.0).alias("at"), F.filter(F.transform(edges, lambda e: F.struct(F.lit(0.0).alias("at"), e.alias("e"))), lambda _: F.lit(False)).alias("all"))
-    walked = F.aggregate(edges, zero, lambda acc, e: F.struct((acc["at"] + e["size"]).alias("at"), F.concat(acc["all"], F.array(F.struct(acc["at"].alias("at"), e.alias("e")))).alias("all")))
+def resample(rows: DataFrame, step: float) -> DataFrame:
+    """rows with their rings (ring) as points at equal distances along them from the first one, as column functions.
+
+    Edges and the distances walked up to them are columns of their own, so that each is worked out once.
+    """
+    after = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
+    edges = F.zip_with("ring", after, lambda p, q: F.struct(p.x.alias("x"), p.y.alias("y"), (q.x - p.x).alias("dx"), (q.y - p.y).alias("dy"), F.hypot(q.x - p.x, q.y - p.y).alias("size")))
+    sizes = F.transform("_edges", lambda e: e["size"])
+    begun = F.aggregate(sizes, F.array(F.lit(0.0)), lambda acc, size: F.array_append(acc, F.element_at(acc, -1) + size))
     # Distances stop short of the ring's whole length.
-    last = F.greatest(F.ceil(walked["at"] / step - 1e-9).cast("int") - 1, F.lit(0))
+    last = F.greatest(F.ceil(F.element_at("_begun", -1) / step - 1e-9).cast("int") - 1, F.lit(0))
 
-    def point(k):
+    def point(k: Column) -> Column:
         s = k * F.lit(float(step))
-        edge = F.element_at(F.filter(walked["all"], lambda w: w["at"] <= s), -1)
-        t = (s - edge["at"]) / F.greatest(edge["e"]["size"], F.lit(1e-12))
-        return F.struct((edge["e"]["x"] + edge["e"]["dx"] * t).alias("x"), (edge["e"]["y"] + edge["e"]["dy"] * t).alias("y"))
+        upto = F.least(F.size(F.filter("_begun", lambda b: b <= s)), F.size("_edges"))
+        met = F.struct(F.element_at("_edges", upto).alias("e"), (s - F.element_at("_begun", upto)).alias("gone"))
+
+        def place(m: Column) -> Column:
+            t = m["gone"] / F.greatest(m["e"]["size"], F.lit(1e-12))
+            return F.struct((m["e"]["x"] + m["e"]["dx"] * t).alias("x"), (m["e"]["y"] + m["e"]["dy"] * t).alias("y"))
+
+        return F.transform(F.array(met), place)[0]
 
-    return F.transform(F.sequence(F.lit(0), last), point)
+    staged = rows.withColumn("_edges", edges).withColumn("_begun", begun).withColumn("_last", last)
+    return staged.withColumn("ring", F.transform(F.sequence(F.lit(0), "_last"), point)).drop("_edges", "_begun", "_last")
 
 
 def simplifies(outline: Column, tolerance: float) -> Column:

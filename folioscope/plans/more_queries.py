@@ -112,7 +112,7 @@ def _children(s, d):
 
 
 def _resampled(s, d):
-    rows = rings(layout(s, d, "seg_gt")).where(ol.simplifies(F.col("ring"), STEP)).select("page_id", "seg_id", ol.resample(F.col("ring"), STEP).alias("ring"))
+    rows = ol.resample(rings(layout(s, d, "seg_gt")).where(ol.simplifies(F.col("ring"), STEP)).select("page_id", "seg_id", "ring"), STEP)
     total = lambda f: F.round(F.aggregate(F.transform("ring", f), F.lit(0.0), lambda a, b: a + b), 3)
     return rows.select("page_id", "seg_id", F.size("ring").alias("n"), total(lambda p: p.x).alias("sum_x"), total(lambda p: p.y).alias("sum_y"))
 
@@ -234,7 +234,7 @@ UNION ALL SELECT t.page_id, t.seg_id, 'table' FROM t JOIN t AS p ON p.page_id =
 WHERE t.seg_class = 'TextRegion' AND p.parent_id IS NULL AND p.seg_class = 'TableRegion'"""),
         "style_inherit": _with("", f"SELECT page_id, seg_id, s.font AS font, s.size AS size FROM (SELECT page_id, seg_id, coalesce({style('x0', 3, 'word')}, {style('y0', 4, 'line')}, {style('page_id', 2, 'region')}) AS s FROM seg_dup)"),
         "presentation_url": _with(_PAGES, """, a AS (SELECT page_id, (['slub', 'sbb', 'none'])[page_id % 3 + 1] AS convention,
-  CASE WHEN page_id % 7 = 0 THEN 'PAGE_' ELSE 'PHYS_' END || CASE WHEN length(page_id::VARCHAR) > 4 THEN page_id::VARCHAR[1:4] ELSE lpad(page_id::VARCHAR, 4, '0') END AS name FROM p)
+  CASE WHEN page_id % 7 = 0 THEN 'PAGE_' ELSE 'PHYS_' END || lpad(page_id::VARCHAR, 4, '0') AS name FROM p)
 SELECT page_id, convention, CASE convention
   WHEN 'sbb' THEN 'https://digital.staatsbibliothek-berlin.de/werkansicht?PPN=PPN' || page_id || '&PHYSID=' || name
   WHEN 'slub' THEN CASE WHEN page_id % 7 = 0 THEN ''
