@@ -12,8 +12,8 @@ Start: documents in the order of their least passage are cut into shards of equa
 the documents (by a seeded hash, so that two linked ones don't just change places) ask to move to the shard that pulls
 most. For two shards, as many moves are granted in one direction as in the other, those with the highest gains; room
 below the capacity is shared out over the rest. No shard ever exceeds its capacity. Rounds go on until both halves in
-turn were granted no move, or until ``STALE`` such turns in a row lowered the cut no more (linked documents may change
-places for ever); the labels of the least cut are kept.
+turn were granted no move, or until ``STALE`` such turns in a row lowered the cut by less than ``TOLERANCE`` of it (the
+last moves gain little, and linked documents may change places for ever); the labels of the least cut are kept.
 
 Defined results: one row for each doc_id, of repeated rows too (their lines are united); documents without a shared
 passage (null and empty texts among them) only fill up; texts are read whole, of any length; rows with a null doc_id
@@ -28,12 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import common, textkit
 
 SHARDS, ROUNDS, SLACK, MIN_CHARS, SEED = 16, None, 0.05, 30, 3
-SHINGLE, WINDOW, STALE = 6, 7, 2
+SHINGLE, WINDOW, STALE, TOLERANCE = 6, 7, 2, 0.01
 #: Documents of a passage for each salt.
 HOT = 65536
 
@@ -128,8 +128,8 @@ def _settled(labels: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(labels._jdf.toJavaRDD(), labels._jdf.schema()), spark)
 
 
-def wishes(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, shard, to, gain) of the linked documents that another shard pulls more than their own."""
+def wishes(edges: DataFrame, labels: DataFrame, turn: Column | None = None) -> DataFrame:
+    """(doc_id, shard, to, gain) of the linked documents, of a turn, that another shard pulls more than their own."""
     # The rows of a passage in very many documents are spread over several salts, its few counts are sent to each.
     salts = F.ceil(F.col("size") / HOT)
     marked = edges.join(labels, "doc_id").withColumn("salt", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), salts))
@@ -138,8 +138,9 @@ def wishes(edges: DataFrame, labels: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"), F.max(salts).alias("salts"))
         .select("passage", "k", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     )
+    asking = marked if turn is None else marked.where(turn)
     pulls = (
-        marked.join(counts, ["passage", "salt"])
+        asking.join(counts, ["passage", "salt"])
         .select(
             "doc_id",
             "shard",
@@ -178,11 +179,12 @@ def _granted(asked: DataFrame, labels: DataFrame, shards: int, capacity: int) ->
 
 
 def assign(
-    docs: DataFrame, shards: int = SHARDS, rounds: int | None = ROUNDS, slack: float = SLACK, min_chars: int = MIN_CHARS, seed: int = SEED
+    docs: DataFrame, shards: int = SHARDS, rounds: int | None = ROUNDS, slack: float = SLACK, min_chars: int = MIN_CHARS, seed: int = SEED,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """(doc_id, shard) of every document; no shard has more than (1 + slack) n / shards documents, rounded up.
 
-    ``rounds`` bounds the rounds; None goes on to the end.
+    ``rounds`` bounds the rounds; None goes on to the end. A ``tolerance`` of 0 goes on as long as the cut falls at all.
     """
     edges = common.durable(links(docs, min_chars))
     common.release(edges)
@@ -195,7 +197,7 @@ def assign(
     best, least, stale, granted, k = labels, cut(edges, labels)[0], 0, False, 0
     while rounds is None or k < rounds:
         turn = F.pmod(F.xxhash64(F.lit(seed + k // 2), "doc_id"), F.lit(2)) == k % 2
-        moves = common.durable(_granted(wishes(edges, labels).where(turn), labels, shards, capacity))
+        moves = common.durable(_granted(wishes(edges, labels, turn), labels, shards, capacity))
         if not moves.isEmpty():
             granted = True
             labels = _settled(
@@ -204,7 +206,7 @@ def assign(
         k += 1
         if k % 2 == 0 or k == rounds:
             now = cut(edges, labels)[0] if granted else least
-            stale = 0 if now < least - 1e-6 else stale + 1
+            stale = 0 if now < least * (1 - tolerance) else stale + 1
             if now < least:
                 best, least = labels, now
             if not granted or stale == STALE:
