@@ -205,12 +205,16 @@ def greedy_matches(gt: DataFrame, dt: DataFrame, pairs: DataFrame) -> DataFrame:
     def step(acc, d):
         left = F.filter(d["all"], lambda c: (c["iou"] >= F.col("s.threshold") - 1e-10) & ~F.array_contains(acc["used"], c["gt_id"]))
         ordered = F.array_sort(F.transform(left, lambda c: F.struct(outside(c["area"]).alias("ignored"), (-c["iou"]).alias("far"), c["gt_id"].alias("gt_id"))))
-        best = F.get(ordered, F.lit(0))
-        hit = best.isNotNull()
-        tp = (hit & ~best["ignored"]).cast("long")
-        fp = (~hit & ~outside(d["area"])).cast("long")
-        row = F.struct(d["score"].alias("score"), F.coalesce(tp, F.lit(0)).cast("long").alias("tp"), fp.alias("fp"))
-        return F.struct(F.when(hit, F.array_append(acc["used"], best["gt_id"])).otherwise(acc["used"]).alias("used"), F.array_append(acc["out"], row).alias("out"))
+
+        def taken(best):
+            hit = best.isNotNull()
+            tp = F.coalesce((hit & ~best["ignored"]).cast("long"), F.lit(0).cast("long"))
+            row = F.struct(d["score"].alias("score"), tp.alias("tp"), (~hit & ~outside(d["area"])).cast("long").alias("fp"))
+            used = F.when(hit, F.array_append(acc["used"], best["gt_id"])).otherwise(acc["used"])
+            return F.struct(used.alias("used"), F.array_append(acc["out"], row).alias("out"))
+
+        # By way of an array of one, so that the best is looked for once.
+        return F.transform(F.array(F.get(ordered, F.lit(0))), taken)[0]
 
     folded = each.select("category", "s.threshold", "s.range", F.explode(F.aggregate("found", start, step)["out"]).alias("o"))
     return folded.groupBy("category", "threshold", "range", F.col("o.score").alias("score")).agg(F.sum("o.tp").alias("tp"), F.sum("o.fp").alias("fp"))
