@@ -12,6 +12,11 @@ SF = "/root/testdata/sf0.001"
 CHOSEN = [
     "segment_matches", "misses", "category_stats", "redundancy_class", "apply_deletes", "line_actions", "dense_ids",
     "parent_consistency", "reading_order_reindex", "text_attach", "poly_measures", "page_numeric_id", "class_masks",
+    "regions_recursive", "text_regions_union", "style_inherit", "presentation_url", "merge_child_order", "merge_conflicts", "enlarge_parents",
+    "line_sheet", "rebase_original", "scan_page_xml", "filelist_scan", "coco_ingest", "coco_page_match", "coco_category_lookup", "merge_outline",
+    "apply_splits", "apply_merges", "project_hull", "simplify_resample", "simplify_guard", "segment_validity", "error_resolve", "ensure_valid",
+    "clip_to_parent", "mask_pack", "components", "contour_filter", "component_scale", "painter_mask", "textequiv_pick", "textequiv_last",
+    "text_insert", "category_map", "line_filter", "pixel_image", "over_under_image", "fp_fn",
 ]
 
 
