@@ -30,7 +30,7 @@ def parallel(gt: DataFrame, dt: DataFrame, image: DataFrame | None = None) -> Da
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(row, line) of a text file, in its order: one small file is one partition."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("row", "line"))
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n+$", ""), "\n")).alias("row", "line"))
 
 
 def text_glob(spark: SparkSession, pattern: str) -> DataFrame:

@@ -132,4 +132,4 @@ def write(segments: DataFrame, path: str) -> None:
         return pd.DataFrame({"page_id": [rows["page_id"].iloc[0]], "xml": [build(plain)]})
 
     made = segments.where("error is null").groupBy("page_id").applyInPandas(page, "page_id string, xml string")
-    made.write.partitionBy("page_id").option("lineSep", "").text(path)
+    made.write.partitionBy("page_id").text(path)
