@@ -15,7 +15,8 @@ pivot differ by more than ``RADIUS`` can't be near copies. They can't make candi
 by about 64 bits, but their distances to a pivot by 8 in standard deviation, within ``RADIUS`` almost always.
 
 Each fingerprint is sent once for a set of keys, not for every key. Beyond ``CELL`` fingerprints a set holds keys with
-common bits, whose values part the fingerprints into cells that are compared apart.
+common bits, each of whose values is a cell that is compared apart. A cell takes a worker some 150 bytes a fingerprint;
+one that came out larger than twice ``CELL`` is compared key by key, in pieces that part no key.
 
 Within a key, pairs are compared in the order of their word counts, as far as these are within a fifth, but for those
 that are linked already, by other keys or other members. So a group of thousands costs about what its members do, and a
@@ -41,6 +42,8 @@ from . import common, textkit
 
 BITS, RADIUS, PIVOTS, SEED = 128, 26, 4, 20260
 CELL, SETS, CROWD = 1 << 20, 32, 512
+#: Pairs that are compared at a time.
+BLOCK = 1 << 16
 _RANK_BITS = 24
 MIN_LENGTH_RATIO = 0.8
 _COUNT_BITS = 24
@@ -93,13 +96,18 @@ def references(seed: int = SEED) -> np.ndarray:
 
 
 def pivot_table(prints: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """(fingerprints, pivots) Hamming distances, by one product of +1/-1 matrices."""
-    signs = lambda x: np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").astype(np.float32) * 2 - 1
-    return ((BITS - signs(np.ascontiguousarray(prints)) @ signs(pivots).T) / 2).astype(np.int16)
+    """(fingerprints, pivots) Hamming distances, a pivot at a time."""
+    out = np.zeros((len(prints), len(pivots)), np.int16)
+    for k, pivot in enumerate(pivots):
+        for half in range(2):
+            out[:, k] += np.bitwise_count(prints[:, half] ^ pivot[half])
+    return out
 
 
 def near_pairs(prints: np.ndarray, words: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which of the pairs (i, j) are near copies: coordinates first, distances for the survivors."""
+    if len(i) > BLOCK:
+        return np.concatenate([near_pairs(prints, words, table, i[k : k + BLOCK], j[k : k + BLOCK]) for k in range(0, len(i), BLOCK)])
     alive = np.ones(len(i), bool)
     for column in table.T:
         alive &= np.abs(column[i] - column[j]) <= RADIUS
@@ -171,7 +179,7 @@ def _linked(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if not apart.any():
             return label
         a, b, low, high = a[apart], b[apart], np.minimum(one, two)[apart], np.maximum(one, two)[apart]
-        root = np.arange(len(label))
+        root = np.arange(len(label), dtype=label.dtype)
         np.minimum.at(root, high, low)
         label = root[label]
         while (label[label] != label).any():
@@ -213,30 +221,37 @@ def cell_edges(prints: np.ndarray, words: np.ndarray, masks: np.ndarray, pivots:
 
     Pairs that are linked already, by keys before, aren't compared again.
     """
-    order = np.argsort(words, kind="stable")
-    prints, words = np.ascontiguousarray(prints[order]), words[order]
+    order = np.argsort(words, kind="stable").astype(np.int32)
+    prints, words = prints[order], words[order].astype(np.int32)
     table, rank = pivot_table(prints, pivots), np.arange(len(order), dtype=np.uint64)
     low = np.uint64((1 << _RANK_BITS) - 1)
     # Of fingerprints in the order of their words, the first that is too long for a pair with k.
-    reach = np.searchsorted(words, words / MIN_LENGTH_RATIO * (1 + 1e-9), "right")
-    label = np.arange(len(order))
+    reach = np.searchsorted(words, words / MIN_LENGTH_RATIO * (1 + 1e-9), "right").astype(np.int32)
+    label = np.arange(len(order), dtype=np.int32)
     for mask in masks:
         # Sorted by key, then words. Keys are hashed to 40 bits: those that collide only add candidates.
-        rows = np.sort(textkit.mix(textkit.mix(prints[:, 0] & mask[0]) + (prints[:, 1] & mask[1])) & ~low | rank)
-        key, at = rows >> np.uint64(_RANK_BITS), (rows & low).astype(np.int64)
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        ends = np.append(starts[1:], len(key))
+        rows = _hashed(prints, mask) & ~low | rank
+        rows.sort()
+        at = (rows & low).astype(np.int32)
+        rows >>= np.uint64(_RANK_BITS)
+        starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])).astype(np.int32)
+        ends = np.append(starts[1:], np.int32(len(rows)))
+        del rows
         large = ends - starts > CROWD
         end = np.repeat(np.where(large, starts, ends), ends - starts)
-        far, i, lag, found = reach[at], np.arange(len(key)), 1, []
-        while len(i := i[i + lag < end[i]]) and len(i := i[at[i + lag] < far[i]]):
+        i, lag, found, held = np.arange(len(at), dtype=np.int32), 1, [], 0
+        while len(i := i[i + lag < end[i]]) and len(i := i[at[i + lag] < reach[at[i]]]):
             a, b = at[i], at[i + lag]
             apart = label[a] != label[b]
             a, b = a[apart], b[apart]
             near = near_pairs(prints, words, table, a, b)
             found.append(np.stack([a[near], b[near]]))
+            held += found[-1].shape[1]
+            # Of a group of copies most pairs are near: they are no more than the fingerprints before they are linked.
+            if held > len(label) // 4:
+                label, found, held = _linked(label, *np.concatenate(found, axis=1)), [], 0
             lag += 1
-        if found:
+        if held:
             label = _linked(label, *np.concatenate(found, axis=1))
         for k in np.flatnonzero(large):
             label = _crowd(at[starts[k] : ends[k]], label, prints, words, table)
@@ -244,6 +259,19 @@ def cell_edges(prints: np.ndarray, words: np.ndarray, masks: np.ndarray, pivots:
     return np.stack([order[child], order[label[child]]], axis=1)
 
 
+def _hashed(prints: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """A hash of each fingerprint's bits in the mask."""
+    return textkit.mix(textkit.mix(prints[:, 0] & mask[0]) + (prints[:, 1] & mask[1]))
+
+
+def _bits(prints: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The number that each fingerprint's bits in the mask are; few bits."""
+    out = np.zeros(len(prints), np.int64)
+    for k, bit in enumerate(np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little"))):
+        out |= ((prints[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)).view(np.int64) << k
+    return out
+
+
 def nodes(prints: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A number for each different (fingerprint, word count)."""
     return textkit.mix(prints[:, 0] + textkit.mix(prints[:, 1] + counts.astype(np.uint64))).view(np.int64)
@@ -289,25 +317,29 @@ def groups(docs: DataFrame) -> DataFrame:
         """A row for each set of keys: the number of set and cell, and the fingerprint with its word count."""
         for batch in found:
             columns = [batch.column(k) for k in ("fa", "fb", "n")]
-            fa, fb = (c.to_numpy().view(np.uint64) for c in columns[:2])
+            prints = np.stack([c.to_numpy() for c in columns[:2]], axis=1).view(np.uint64)
             for k, (_, prefix) in enumerate(sets):
-                cell = textkit.mix(textkit.mix(fa & prefix[0]) + (fb & prefix[1])) % np.uint64(width)
-                place = k * width + cell.view(np.int64)
+                place = k * width + _bits(prints, prefix)
                 yield pa.RecordBatch.from_arrays([pa.array(place), *columns], names=["place", "fa", "fb", "n"])
 
     def compared(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Near pairs of each place of a partition that is sorted by place; a place may go on in the next batches."""
         held: list[np.ndarray] = []
+
+        def edges() -> Iterator[pa.RecordBatch]:
+            place, rows = held[0][0, 0], np.concatenate([x[:, 1:] for x in held])
+            held.clear()
+            return _edges(rows, sets[place // width][0], pivots)
+
         for batch in found:
             rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
             for part in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1):
                 if held and len(part) and held[0][0, 0] != part[0, 0]:
-                    yield _edges(np.concatenate(held), sets[held[0][0, 0] // width][0], pivots)
-                    held = []
+                    yield from edges()
                 if len(part):
                     held.append(part)
         if held:
-            yield _edges(np.concatenate(held), sets[held[0][0, 0] // width][0], pivots)
+            yield from edges()
 
     places = known.select("fa", "fb", "n").mapInArrow(common.lean(placed), "place long, fa long, fb long, n long")
     near = places.repartition(2 * len(sets) * width, "place").sortWithinPartitions("place").mapInArrow(common.lean(compared), "a long, b long")
@@ -317,10 +349,33 @@ def groups(docs: DataFrame) -> DataFrame:
     return prints.join(linked.join(kept, "root").select("node", "keep_id"), "node").select("doc_id", "keep_id")
 
 
-def _edges(rows: np.ndarray, masks: np.ndarray, pivots: np.ndarray) -> pa.RecordBatch:
-    prints, words = np.ascontiguousarray(rows[:, 1:3]).view(np.uint64), rows[:, 3]
-    out = nodes(prints, words)[cell_edges(prints, words, masks, pivots)]
-    return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+def _pieces(prints: np.ndarray, masks: np.ndarray) -> Iterator[tuple[np.ndarray | slice, np.ndarray]]:
+    """(rows, masks) that are compared at a time: all at once, or of too many rows about ``CELL`` that part no key."""
+    if len(prints) <= 2 * CELL:
+        yield slice(None), masks
+        return
+    for mask in masks:
+        key = _hashed(prints, mask)
+        order = np.argsort(key)
+        key, at = key[order], 0
+        while at < len(key):
+            last = key[min(at + CELL, len(key)) - 1]
+            # The last key's rows come with it where they begin the piece, else they begin the next.
+            to = int(np.searchsorted(key, last, "left"))
+            if to == at or at + CELL >= len(key):
+                to = int(np.searchsorted(key, last, "right"))
+            yield order[at:to], mask[None]
+            at = to
+
+
+def _edges(rows: np.ndarray, masks: np.ndarray, pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of the nodes of a place, whose rows are (fa, fb, n)."""
+    prints, words = np.ascontiguousarray(rows[:, :2]).view(np.uint64), rows[:, 2].copy()
+    del rows
+    for some, keys in _pieces(prints, masks):
+        own, lengths = prints[some], words[some]
+        ends = cell_edges(own, lengths, keys, pivots).T
+        yield pa.RecordBatch.from_arrays([pa.array(nodes(own[x], lengths[x])) for x in ends], names=["a", "b"])
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
