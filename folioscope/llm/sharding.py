@@ -88,10 +88,11 @@ def links(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         "doc_id", F.xxhash64(F.trim("line")).alias("passage")
     )
     pairs = _shingles(known).union(whole).distinct()
-    # Counted and joined back, not by a window, so that a passage in a third of all documents is no single task. Most
-    # passages are in one document: only the others get past the count, by which signatures are made.
-    shared = pairs.groupBy("passage").agg(F.count("*").alias("size")).where("size > 1")
-    held = common.durable(pairs.join(shared, "passage").select("passage", "doc_id", "size"))
+    # One exchange by passage serves to drop repeats and to count; most passages are in one document, and only the
+    # others get past the count. A window spills, so a passage in very many documents is a long task, but no large one.
+    pairs = _shingles(known).union(whole).repartition("passage").distinct()
+    sized = pairs.withColumn("size", F.count("*").over(W.partitionBy("passage")))
+    held = common.durable(sized.where("size > 1").select("passage", "doc_id", "size"))
     common.release(held)
     signs = held.groupBy("passage").agg(*(F.expr(f"bit_xor(xxhash64({salt}, doc_id))").alias(f"x{salt}") for salt in (1, 2)))
     return (
