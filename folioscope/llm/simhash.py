@@ -44,6 +44,8 @@ BITS, RADIUS, PIVOTS, SEED = 128, 26, 4, 20260
 CELL, SETS, CROWD = 1 << 20, 32, 512
 #: Pairs that are compared at a time.
 BLOCK = 1 << 16
+#: Rows that a task sends to the places, about; it holds them until they are sorted by place.
+SENT = 1 << 20
 _RANK_BITS = 24
 MIN_LENGTH_RATIO = 0.8
 _COUNT_BITS = 24
@@ -341,14 +343,21 @@ def groups(docs: DataFrame) -> DataFrame:
         if held:
             yield from edges()
 
-    places = known.select("fa", "fb", "n").mapInArrow(common.lean(placed), "place long, fa long, fb long, n long")
-    near = places.repartition(2 * len(sets) * width, "place").sortWithinPartitions("place").mapInArrow(common.lean(compared), "a long, b long")
+    places = _spread(known, n * len(sets)).select("fa", "fb", "n").mapInArrow(common.lean(placed), "place long, fa long, fb long, n long")
+    # A partition for each place: hashes would put several into one, which a task would hold and sort together.
+    parted = places.repartitionById(len(sets) * width, F.col("place").cast("int")).sortWithinPartitions("place")
+    near = parted.mapInArrow(common.lean(compared), "a long, b long")
     roots = common.components(near)
     linked = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = linked.groupBy("root").agg(F.min("rep").alias("keep_id"), F.sum("copies").alias("size")).where("size > 1")
     return prints.join(linked.join(kept, "root").select("node", "keep_id"), "node").select("doc_id", "keep_id")
 
 
+def _spread(known: DataFrame, sent: int) -> DataFrame:
+    """known in as many partitions as leave each about ``SENT`` of the rows that are sent to places."""
+    return known.repartition(max(1, math.ceil(sent / SENT)), "node")
+
+
 def _pieces(prints: np.ndarray, masks: np.ndarray) -> Iterator[tuple[np.ndarray | slice, np.ndarray]]:
     """(rows, masks) that are compared at a time: all at once, or of too many rows about ``CELL`` that part no key."""
     if len(prints) <= 2 * CELL:

@@ -6,6 +6,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import simhash
 
@@ -61,3 +62,25 @@ def test_cells_that_are_too_large_lose_no_link(monkeypatch):
     sizes = [len(simhash.nodes(prints, words)[some]) for some, _ in simhash._pieces(prints, masks)]
     assert max(sizes) <= 100 and sum(sizes) == len(masks) * len(rows)
     assert linked() == whole and whole != list(range(len(rows)))
+
+
+def test_a_task_sends_and_compares_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 500)
+    monkeypatch.setattr(simhash, "SENT", 10_000, raising=False)
+    frames, kind = [], type(spark.range(1))
+    whole = kind.mapInArrow
+
+    def seen(df, batches, schema):
+        frames.append(df)
+        return whole(df, batches, schema)
+
+    monkeypatch.setattr(kind, "mapInArrow", seen)
+    words = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.md5(F.concat_ws(" ", k, "doc_id")))
+    docs = spark.range(0, 4_000, 1, 1).select(F.col("id").alias("doc_id")).withColumn("text", F.concat_ws(" ", words))
+    assert simhash.groups(docs).count() == 0
+    sending, comparing = (df for df in frames if "fa" in df.columns)
+    places = comparing.select("place", F.spark_partition_id().alias("at")).distinct()
+    sets = places.count() // 8
+    sent = [r["count"] for r in sending.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sent) == 4_000 and max(sent) * sets < 1.5 * simhash.SENT
+    assert places.groupBy("at").count().where("count > 1").isEmpty()
