@@ -6,7 +6,8 @@ row that with the least hash is taken, so a run of ``SHINGLE + WINDOW - 1`` word
 stands in them, gives at least one link. A passage in s documents links each two of them with weight 1 / (s - 1), so a
 document has the same total pull from each of its passages, however common. Passages of the very same documents are
 counted as one with their number as weight. Links are never listed as pairs: labels are counted by passage and the
-counts joined back, which is linear in the passages.
+counts joined back, which is linear in the passages. Only counts of passages in more than one shard are: any other pulls
+each of its documents to their own shard with its whole weight.
 
 Start: documents in the order of their least passage are cut into shards of equal size. Then, in each round, half of
 the documents (by a seeded hash, so that two linked ones don't just change places) ask to move to the shard that pulls
@@ -82,33 +83,43 @@ def links(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     Of passages with the same documents the least stands for all; weight is their number.
     """
     lines = F.split(F.lower("text"), "\n")
-    long = F.filter(lines, lambda x: F.length(x) >= min_chars)
+    long = F.transform(F.filter(lines, lambda x: F.length(x) >= min_chars), F.trim)
     known = docs.where("doc_id is not null and text is not null")
     whole = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(long)).alias("line")).select(
-        "doc_id", F.xxhash64(F.trim("line")).alias("passage")
+        "doc_id", F.xxhash64("line").alias("passage")
     )
-    pairs = _shingles(known).union(whole).distinct()
-    # One exchange by passage serves to drop repeats and to count; most passages are in one document, and only the
-    # others get past the count. A window spills, so a passage in very many documents is a long task, but no large one.
-    pairs = _shingles(known).union(whole).repartition("passage").distinct()
-    sized = pairs.withColumn("size", F.count("*").over(W.partitionBy("passage")))
-    held = common.durable(sized.where("size > 1").select("passage", "doc_id", "size"))
+    # One exchange by passage serves to drop repeats, to count and to sign; most passages are in one document, and only
+    # the others get past the count. A window spills, so a passage in very many documents is a long task, but no large one.
+    pairs = _shingles(known).union(whole).repartition("passage")
+    # A row has each of its passages once, so only rows with one doc_id repeat any.
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
+    rows, different = ids.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows != different:
+        pairs = pairs.distinct()
+    same = W.partitionBy("passage")
+    signs = [F.bit_xor(F.xxhash64(F.lit(salt), "doc_id")).over(same).alias(f"x{salt}") for salt in (1, 2)]
+    held = common.durable(pairs.select("passage", "doc_id", F.count("*").over(same).alias("size"), *signs).where("size > 1"))
     common.release(held)
-    signs = held.groupBy("passage").agg(*(F.expr(f"bit_xor(xxhash64({salt}, doc_id))").alias(f"x{salt}") for salt in (1, 2)))
     return (
-        held.join(signs, "passage")
-        .groupBy("doc_id", "size", "x1", "x2")
+        held.groupBy("doc_id", "size", "x1", "x2")
         .agg(F.min("passage").alias("passage"), F.count("*").alias("weight"))
         .select("doc_id", "passage", "size", "weight")
     )
 
 
-def _start(ids: DataFrame, edges: DataFrame, shards: int, n: int, seed: int) -> DataFrame:
+def _packed(edges: DataFrame) -> DataFrame:
+    """(doc_id, held, total, least): a document's passages in one row, their weight and the least of them."""
+    return edges.groupBy("doc_id").agg(
+        F.collect_list(F.struct("passage", "size", "weight")).alias("held"), F.sum("weight").alias("total"), F.min("passage").alias("least")
+    )
+
+
+def _start(ids: DataFrame, packed: DataFrame, shards: int, n: int, seed: int) -> DataFrame:
     """(doc_id, shard): equal cuts of the documents in the order of their least passages.
 
     The order is made of 2**18 cells, whose counts are summed up in a table of that bounded size.
     """
-    least = edges.groupBy("doc_id").agg(F.min("passage").alias("least"))
+    least = packed.select("doc_id", "least")
     fine = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(64))
     coarse = F.pmod(F.coalesce("least", F.xxhash64(F.lit(seed), "doc_id")), F.lit(4096))
     placed = ids.join(least, "doc_id", "left").select("doc_id", (coarse * 64 + fine).alias("cell"))
@@ -129,34 +140,51 @@ def _settled(labels: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(labels._jdf.toJavaRDD(), labels._jdf.schema()), spark)
 
 
+def _marked(packed: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, shard, total, passage, size, weight) of each document and passage."""
+    return packed.join(labels, "doc_id").select("doc_id", "shard", "total", F.inline("held"))
+
+
+def _parted(packed: DataFrame, labels: DataFrame) -> DataFrame:
+    """(passage, size, weight, k, n): the n documents in shard k of the passages that are in several shards."""
+    counts = _marked(packed, labels).groupBy("passage", "size", "weight", F.col("shard").alias("k")).agg(F.count("*").alias("n"))
+    return counts.where("n < size")
+
+
+def _weight(parted: DataFrame) -> float:
+    """The weight of links between shards; all are of parted passages."""
+    one = F.col("weight") * F.col("n") * (F.col("size") - F.col("n")) / (2 * (F.col("size") - 1))
+    return float(parted.agg(F.sum(one)).first()[0] or 0)
+
+
 def wishes(edges: DataFrame, labels: DataFrame, turn: Column | None = None) -> DataFrame:
     """(doc_id, shard, to, gain) of the linked documents, of a turn, that another shard pulls more than their own."""
+    packed = _packed(edges)
+    return _wishes(packed, _parted(packed, labels), labels, turn)
+
+
+def _wishes(packed: DataFrame, parted: DataFrame, labels: DataFrame, turn: Column | None) -> DataFrame:
     # The rows of a passage in very many documents are spread over several salts, its few counts are sent to each.
     salts = F.ceil(F.col("size") / HOT)
-    marked = edges.join(labels, "doc_id").withColumn("salt", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), salts))
-    counts = (
-        marked.groupBy("passage", F.col("shard").alias("k"))
-        .agg(F.count("*").alias("n"), F.max(salts).alias("salts"))
-        .select("passage", "k", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    )
-    asking = marked if turn is None else marked.where(turn)
+    counts = parted.select("passage", "k", "n", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    asking = _marked(packed if turn is None else packed.where(turn), labels)
+    own, others = F.col("k") == F.col("shard"), F.col("size") - 1
+    # Own shards: what a passage doesn't pull there, as it is in others too; they have all of the rest.
     pulls = (
-        asking.join(counts, ["passage", "salt"])
+        asking.withColumn("salt", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), salts))
+        .join(counts, ["passage", "salt"])
         .select(
-            "doc_id",
-            "shard",
-            "k",
-            (F.col("weight") * (F.col("n") - (F.col("k") == F.col("shard")).cast("int")) / (F.col("size") - 1)).alias("pull"),
+            "doc_id", "shard", "total", "k", (F.col("weight") * F.when(own, F.col("n") - F.col("size")).otherwise(F.col("n")) / others).alias("pull")
         )
-        .groupBy("doc_id", "shard", "k")
+        .repartition("doc_id")
+        .groupBy("doc_id", "shard", "total", "k")
         .agg(F.sum("pull").alias("pull"))
     )
-    best = pulls.groupBy("doc_id", "shard").agg(
-        F.max(F.struct("pull", (-F.col("k")).alias("low"))).alias("best"),
-        F.max(F.when(F.col("k") == F.col("shard"), F.col("pull"))).alias("own"),
+    best = pulls.groupBy("doc_id", "shard", "total").agg(
+        F.max(F.when(~own, F.struct("pull", (-F.col("k")).alias("low")))).alias("best"), F.max(F.when(own, F.col("pull"))).alias("lost")
     )
-    gain = F.col("best.pull") - F.coalesce("own", F.lit(0.0))
-    return best.select("doc_id", "shard", (-F.col("best.low")).alias("to"), gain.alias("gain")).where("gain > 1e-9 and to != shard")
+    gain = F.col("best.pull") - (F.col("total") + F.col("lost"))
+    return best.select("doc_id", "shard", (-F.col("best.low")).alias("to"), gain.alias("gain")).where("gain > 1e-9")
 
 
 def _granted(asked: DataFrame, labels: DataFrame, shards: int, capacity: int) -> DataFrame:
@@ -187,32 +215,37 @@ def assign(
 
     ``rounds`` bounds the rounds; None goes on to the end. A ``tolerance`` of 0 goes on as long as the cut falls at all.
     """
-    edges = common.durable(links(docs, min_chars))
-    common.release(edges)
+    packed = common.durable(_packed(links(docs, min_chars)))
+    common.release(packed)
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     n = ids.count()
     if not n:
         return ids.select("doc_id", F.lit(0).alias("shard"))
     capacity = math.ceil(n * (1 + slack) / shards)
-    labels = _settled(_start(ids, edges, shards, n, seed))
-    best, least, stale, granted, k = labels, cut(edges, labels)[0], 0, False, 0
+    labels = _settled(_start(ids, packed, shards, n, seed))
+    parted = common.durable(_parted(packed, labels))
+    best, least, stale, granted, k = labels, _weight(parted), 0, False, 0
     while rounds is None or k < rounds:
         turn = F.pmod(F.xxhash64(F.lit(seed + k // 2), "doc_id"), F.lit(2)) == k % 2
-        moves = common.durable(_granted(wishes(edges, labels, turn), labels, shards, capacity))
+        # What is granted takes the wishes several times.
+        asked = common.durable(_wishes(packed, parted, labels, turn))
+        moves = common.durable(_granted(asked, labels, shards, capacity))
         if not moves.isEmpty():
             granted = True
             labels = _settled(
                 labels.join(moves, "doc_id", "left").select("doc_id", F.coalesce("to", "shard").alias("shard"))
             )
+            parted = common.durable(_parted(packed, labels))
         k += 1
         if k % 2 == 0 or k == rounds:
-            now = cut(edges, labels)[0] if granted else least
+            now = _weight(parted) if granted else least
             stale = 0 if now < least * (1 - tolerance) else stale + 1
             if now < least:
                 best, least = labels, now
             if not granted or stale == STALE:
                 break
             granted = False
+            common.release(labels)
     return best
 
 
