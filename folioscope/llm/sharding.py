@@ -24,11 +24,15 @@ documents than shards some shards are empty.
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import math
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import common, textkit
@@ -37,6 +41,9 @@ SHARDS, ROUNDS, SLACK, MIN_CHARS, SEED = 16, None, 0.05, 30, 3
 SHINGLE, WINDOW, STALE, TOLERANCE = 6, 7, 2, 0.01
 #: Documents of a passage for each salt.
 HOT = 65536
+#: Rows of passages that a worker holds; more go to files.
+HELD = 1 << 21
+_BYTE = textkit.mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def winnowed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,16 +72,122 @@ def winnowed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return found[0].astype(np.int64), found[1]
 
 
-def _shingles(docs: DataFrame) -> DataFrame:
-    """(doc_id, passage) of the winnowed shingles."""
+def long_lines(texts: pa.Array, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text numbers, hashes) of lines of at least ``min_chars`` characters, in lower case, without outer blanks."""
+    out = [np.zeros((2, 0), np.uint64)]
+    for at, part in textkit.chunks(texts):
+        raw, offsets = textkit.buffers(pc.utf8_lower(part))
+        final = np.flatnonzero((raw[:-1] == 0xCF) & (raw[1:] == 0x82))
+        if len(final):  # a capital sigma may be either of two small ones
+            raw = raw.copy()
+            raw[final + 1] = 0x83
+        breaks = np.flatnonzero(raw == 10)
+        doc = np.repeat(np.arange(len(part)), 1 + np.diff(np.searchsorted(breaks, offsets)))
+        start, end = np.sort(np.append(offsets[:-1], breaks + 1)), np.sort(np.append(offsets[1:], breaks))
+        chars = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+        long = chars[end] - chars[start] >= min_chars
+        doc, start, end = doc[long], start[long], end[long]
+        solid = np.flatnonzero(raw != 32)
+        low, high = np.searchsorted(solid, start), np.searchsorted(solid, end)
+        solid = np.append(solid, len(raw))
+        start, end = np.where(low < high, solid[low], end), np.where(low < high, solid[high - 1] + 1, end)
+        out.append(np.stack([(doc + at).astype(np.uint64), textkit.span_hashes(_BYTE[raw], start, end)]))
+    found = np.concatenate(out, axis=1)
+    return found[0].astype(np.int64), found[1]
+
+
+def _sent(docs: DataFrame, min_chars: int, places: int) -> DataFrame:
+    """(place, rows) of all passages: packed arrays of their hashes and doc_ids, by ranges of hashes."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            doc, marks = winnowed(batch.column("text"))
-            ids = batch.column("doc_id").take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(marks.view(np.int64))], names=["doc_id", "passage"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "doc_id long, passage long")
+            texts, ids = batch.column("text"), batch.column("doc_id").to_numpy()
+            doc, marks = (np.concatenate(x) for x in zip(winnowed(texts), long_lines(texts, min_chars), strict=True))
+            for low in range(0, len(marks), HELD):
+                some = marks[low : low + HELD]
+                place = ((some >> np.uint64(32)) * np.uint64(places) >> np.uint64(32)).astype(np.int32)
+                order = np.argsort(place, kind="stable")
+                rows = np.stack([some[order], ids[doc[low : low + HELD][order]].view(np.uint64)])
+                used, first = np.unique(place[order], return_index=True)
+                packs = [x.tobytes() for x in np.split(rows, first[1:], axis=1)]
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(packs, pa.binary())], names=["place", "rows"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.lean(batches), "place int, rows binary")
+
+
+def _signs(ids: np.ndarray) -> np.ndarray:
+    """Two hashes of each doc_id, whose sums modulo 2 sign a set of documents."""
+    return np.stack([textkit.mix(textkit.mix(ids ^ np.uint64(salt)) + np.uint64(salt)) for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)])
+
+
+def _counted(rows: np.ndarray) -> np.ndarray:
+    """(passage, doc_id, size, x1, x2) of the passages in two documents or more, of all rows (passage, doc_id) of each."""
+    order = np.argsort(rows[0])
+    marks = rows[0][order]
+    same = marks[1:] == marks[:-1]
+    several = np.append(same, False) | np.append(False, same)
+    marks, ids = rows[:, order[several[: len(order)]]]
+    order = np.lexsort((ids, marks))
+    marks, ids = marks[order], ids[order]
+    other = np.append(True, marks[1:] != marks[:-1])[: len(marks)]
+    fresh = other | np.append(True, ids[1:] != ids[:-1])[: len(ids)]
+    marks, ids, starts = marks[fresh], ids[fresh], np.flatnonzero(other[fresh])
+    size = np.diff(np.append(starts, len(marks)))
+    signs = np.bitwise_xor.reduceat(_signs(ids), starts, axis=1) if len(ids) else np.zeros((2, 0), np.uint64)
+    group = np.repeat(np.arange(len(size)), size)
+    group, marks, ids = (x[size[group] > 1] for x in (group, marks, ids))
+    return np.stack([marks, ids, size[group].astype(np.uint64), *signs[:, group]])
+
+
+def _split(parts: Iterable[np.ndarray], key: Callable[[np.ndarray], np.ndarray], files: list) -> None:
+    """Append the rows of parts to the file that key numbers, back at their starts."""
+    for part in parts:
+        to = key(part)
+        for k in np.unique(to):
+            files[k].write(np.ascontiguousarray(part[:, to == k].T).tobytes())
+    for file in files:
+        file.seek(0)
+
+
+def _read(file, rows: int) -> Iterator[np.ndarray]:
+    while data := file.read(16 * rows):
+        yield np.frombuffer(data, np.uint64).reshape(-1, 2).T
+
+
+def _common(parts: Iterable[np.ndarray], limit: int, depth: int = 0) -> Iterator[np.ndarray]:
+    """What _counted gives of all parts; beyond ``limit`` rows these are split over files by their passages' last bits.
+
+    A passage that alone has more is split by its documents, to count them before they are passed on.
+    """
+    parts, held, n = iter(parts), [np.zeros((2, 0), np.uint64)], 0
+    for part in parts:
+        held.append(part)
+        n += part.shape[1]
+        if n > limit:
+            break
+    if n <= limit:
+        yield _counted(np.concatenate(held, axis=1))
+        return
+    step = max(1, limit // 4)
+    with contextlib.ExitStack() as stack:
+        files = [stack.enter_context(tempfile.TemporaryFile()) for _ in range(16)]
+        _split(itertools.chain(held, parts), lambda x: (x[0] >> np.uint64(4 * depth) & np.uint64(15)).astype(np.int64), files)
+        held.clear()
+        for file in files:
+            if depth < 15:
+                yield from _common(_read(file, step), limit, depth + 1)
+                continue
+            # All 64 bits are used up.
+            by_doc, whole = [stack.enter_context(tempfile.TemporaryFile()) for _ in range(64)], stack.enter_context(tempfile.TemporaryFile())
+            _split(_read(file, step), lambda x: (textkit.mix(x[1]) & np.uint64(63)).astype(np.int64), by_doc)
+            size, signs = 0, np.zeros(2, np.uint64)
+            for one in by_doc:
+                rows = np.unique(np.concatenate([np.zeros((2, 0), np.uint64), *_read(one, step)], axis=1), axis=1)
+                size, signs = size + rows.shape[1], signs ^ np.bitwise_xor.reduce(_signs(rows[1]), axis=1)
+                whole.write(np.ascontiguousarray(rows.T).tobytes())
+            whole.seek(0)
+            for rows in _read(whole, step) if size > 1 else ():
+                yield np.concatenate([rows, np.repeat(np.array([[size], [signs[0]], [signs[1]]], np.uint64), rows.shape[1], axis=1)])
 
 
 def links(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -82,26 +195,26 @@ def links(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     Of passages with the same documents the least stands for all; weight is their number.
     """
-    lines = F.split(F.lower("text"), "\n")
-    long = F.transform(F.filter(lines, lambda x: F.length(x) >= min_chars), F.trim)
-    known = docs.where("doc_id is not null and text is not null")
-    whole = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(long)).alias("line")).select(
-        "doc_id", F.xxhash64("line").alias("passage")
-    )
+    limit, names = HELD, ("passage", "doc_id", "size", "x1", "x2")
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (np.frombuffer(x.as_buffer(), np.uint64).reshape(2, -1) for batch in found for x in batch.column("rows"))
+        for rows in _common(parts, limit):
+            if rows.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in rows], names=list(names))
+
     # One exchange by passage serves to drop repeats, to count and to sign; most passages are in one document, and only
-    # the others get past the count. A window spills, so a passage in very many documents is a long task, but no large one.
-    pairs = _shingles(known).union(whole).repartition("passage")
-    # A row has each of its passages once, so only rows with one doc_id repeat any.
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
-    rows, different = ids.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    if rows != different:
-        pairs = pairs.distinct()
-    same = W.partitionBy("passage")
-    signs = [F.bit_xor(F.xxhash64(F.lit(salt), "doc_id")).over(same).alias(f"x{salt}") for salt in (1, 2)]
-    held = common.durable(pairs.select("passage", "doc_id", F.count("*").over(same).alias("size"), *signs).where("size > 1"))
+    # the others get past the count. Rows travel in packs: one by one, their moves and sorts took most of the time.
+    places = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = _sent(docs.where("doc_id is not null and text is not null"), min_chars, places)
+    counted = sent.repartitionById(places, F.col("place")).select("rows").mapInArrow(
+        common.lean(batches), ", ".join(f"{x} long" for x in names)
+    )
+    held = common.durable(counted)
     common.release(held)
     return (
-        held.groupBy("doc_id", "size", "x1", "x2")
+        held.repartition("doc_id")
+        .groupBy("doc_id", "size", "x1", "x2")
         .agg(F.min("passage").alias("passage"), F.count("*").alias("weight"))
         .select("doc_id", "passage", "size", "weight")
     )
