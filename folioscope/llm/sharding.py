@@ -121,7 +121,10 @@ def _signs(ids: np.ndarray) -> np.ndarray:
 
 
 def _counted(rows: np.ndarray) -> np.ndarray:
-    """(passage, doc_id, size, x1, x2) of the passages in two documents or more, of all rows (passage, doc_id) of each."""
+    """(passage, doc_id, size, x1, x2, weight) of the passages in two documents or more, of all rows (passage, doc_id) of each.
+
+    Of passages with the same documents the least stands for all; weight is their number.
+    """
     order = np.argsort(rows[0])
     marks = rows[0][order]
     same = marks[1:] == marks[:-1]
@@ -134,9 +137,14 @@ def _counted(rows: np.ndarray) -> np.ndarray:
     marks, ids, starts = marks[fresh], ids[fresh], np.flatnonzero(other[fresh])
     size = np.diff(np.append(starts, len(marks)))
     signs = np.bitwise_xor.reduceat(_signs(ids), starts, axis=1) if len(ids) else np.zeros((2, 0), np.uint64)
+    order = np.lexsort((marks[starts].view(np.int64), *signs, size))
+    new = np.append(True, (np.diff(size[order]) != 0) | (signs[:, order[1:]] != signs[:, order[:-1]]).any(axis=0))[: len(order)]
+    weight = np.zeros(len(size), np.uint64)
+    weight[order[new]] = np.diff(np.append(np.flatnonzero(new), len(order)))
     group = np.repeat(np.arange(len(size)), size)
-    group, marks, ids = (x[size[group] > 1] for x in (group, marks, ids))
-    return np.stack([marks, ids, size[group].astype(np.uint64), *signs[:, group]])
+    kept = (size[group] > 1) & (weight[group] > 0)
+    group, marks, ids = group[kept], marks[kept], ids[kept]
+    return np.stack([marks, ids, size[group].astype(np.uint64), *signs[:, group], weight[group]])
 
 
 def _split(parts: Iterable[np.ndarray], key: Callable[[np.ndarray], np.ndarray], files: list) -> None:
@@ -187,7 +195,7 @@ def _common(parts: Iterable[np.ndarray], limit: int, depth: int = 0) -> Iterator
                 whole.write(np.ascontiguousarray(rows.T).tobytes())
             whole.seek(0)
             for rows in _read(whole, step) if size > 1 else ():
-                yield np.concatenate([rows, np.repeat(np.array([[size], [signs[0]], [signs[1]]], np.uint64), rows.shape[1], axis=1)])
+                yield np.concatenate([rows, np.repeat(np.array([[size], *signs[:, None], [1]], np.uint64), rows.shape[1], axis=1)])
 
 
 def links(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -195,7 +203,7 @@ def links(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     Of passages with the same documents the least stands for all; weight is their number.
     """
-    limit, names = HELD, ("passage", "doc_id", "size", "x1", "x2")
+    limit, names = HELD, ("passage", "doc_id", "size", "x1", "x2", "weight")
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = (np.frombuffer(x.as_buffer(), np.uint64).reshape(2, -1) for batch in found for x in batch.column("rows"))
@@ -215,7 +223,7 @@ def links(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return (
         held.repartition("doc_id")
         .groupBy("doc_id", "size", "x1", "x2")
-        .agg(F.min("passage").alias("passage"), F.count("*").alias("weight"))
+        .agg(F.min("passage").alias("passage"), F.sum("weight").alias("weight"))
         .select("doc_id", "passage", "size", "weight")
     )
 
