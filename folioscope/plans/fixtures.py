@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from ..functions import rect
 
 #: Common table expressions seg_gt, seg_dt, seg_dup and seg_line.
 LAYOUT = """
@@ -61,7 +61,45 @@ seg_line AS (
 """
 
 
+#: Bytes of the line items' files for which there is one partition of pages; some 300,000 to 600,000 segments.
+PART = 6 << 20
+#: Suffix, condition and corners of the segments that one row of ``base`` stands for, as in seg_dt and seg_dup.
+PREDICTED = (
+    ("a", "sk % 10 <> 0", "x0 + (pk % 11) - 5", "y0 + (sk % 7) - 3", "CASE WHEN pk % 5 = 0 THEN x0 + w div 2 ELSE x0 + w END", "y0 + h"),
+    ("b", "sk % 10 <> 0 AND pk % 5 = 0", "x0 + w div 2", "y0", "x0 + w", "y0 + h"),
+    ("c", "pk % 17 = 0", "x0 + 1000", "y0", "x0 + w + 1000", "y0 + h"),
+)
+REDUNDANT = (
+    ("", "true", "x0", "y0", "x0 + w", "y0 + h"), ("x", "pk % 19 = 0", "x0", "y0", "x0 + w", "y0 + h"),
+    ("y", "pk % 23 = 0", "x0 + 3", "y0 + 3", "x0 + w - 3", "y0 + h - 3"), ("z", "pk % 29 = 0", "x0 + 1", "y0 + 1", "x0 + w + 1", "y0 + h + 1"),
+)
+
+
+def _parted(lineitem: DataFrame) -> DataFrame:
+    """Whole pages in partitions whose number grows with the input, so that no later step by page exchanges them again."""
+    size = int(lineitem._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return lineitem.repartition(max(lineitem.sparkSession.sparkContext.defaultParallelism, -(-size // PART)), "l_orderkey")
+
+
+def _each(base: DataFrame, kinds: tuple) -> DataFrame:
+    """The segments of all kinds in one pass over ``base``, where the SQL unites a pass for each kind."""
+    made = [F.when(F.expr(when), F.struct(F.lit(suffix).alias("suffix"), *[F.expr(e).alias(c) for c, e in zip(rect.CORNERS, corners, strict=True)])) for suffix, when, *corners in kinds]
+    conf = F.expr("(pk % 100) / 100D").alias("conf")
+    rows = base.select("page_id", "seg_id", "seg_class", "subtype", conf, F.inline(F.array(*made))).where("suffix is not null")
+    return rows.withColumn("seg_id", F.concat("seg_id", "suffix")).drop("suffix")
+
+
 def layout(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables of LAYOUT; segments are rectangles of whole numbers, pages are orders."""
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return spark.sql(f"WITH {LAYOUT.replace('FROM lineitem', 'FROM {lineitem}')} SELECT * FROM {name}", lineitem=lineitem)
+    lineitem = _parted(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    table = lambda name: spark.sql(f"WITH {LAYOUT.replace('FROM lineitem', 'FROM {lineitem}')} SELECT * FROM {name}", lineitem=lineitem)
+    if name == "seg_dt":
+        return _each(table("base"), PREDICTED)
+    if name == "seg_dup":
+        return _each(table("base"), REDUNDANT).drop("conf")
+    if name == "seg_line":
+        k = F.inline(F.array(*[F.struct(F.lit(k).cast("long").alias("k")) for k in range(3)]))
+        rows = _each(table("base").where("seg_class = 'TextRegion'"), REDUNDANT).select("page_id", F.col("seg_id").alias("region_id"), *rect.CORNERS, k)
+        high = "(y1 - y0) div 3"
+        return rows.select("page_id", "region_id", F.expr("concat(region_id, '_l', cast(k as string))").alias("line_id"), F.col("k").alias("pos"), "x0", "x1", F.expr(f"y0 + k * ({high})").alias("y0"), F.expr(f"y0 + (k + 1) * ({high})").alias("y1"))
+    return table(name)
