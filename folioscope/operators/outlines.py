@@ -110,11 +110,26 @@ def _grouped(rows: DataFrame, keys: list[str], kernel: Callable[[list[str], list
 def project_hull(children: DataFrame, scale: float = 20) -> DataFrame:
     """(page_id, parent_id, points, area): the joint outline of each parent's children."""
 
-    def outline(_, rings) -> list[dict]:
+    def single(_, rings) -> list[tuple]:
         out = polygon.join(rings, scale)
-        return [{"points": text_of(out), "area": polygon.area(out)}]
-
-    return _grouped(children, ["page_id", "parent_id"], outline, "points string, area double")
+        return [(text_of(out), polygon.area(out))]
+
+    def kernel(_, box, starts, sizes):
+        if not len(starts):
+            return np.zeros(0, int), [[], []]
+        begin = np.cumsum(sizes) - sizes
+        own = box[np.repeat(starts - begin, sizes) + np.arange(int(sizes.sum()))]
+        joint = boxes.hulls(own, begin)
+        points, area = boxes.box_text(joint), boxes.area(joint)
+        other = np.flatnonzero(~boxes.stacked(own, sizes, joint)).tolist()
+        if other:
+            points = points.to_pylist()
+            for k in other:
+                out = boxes.join(box[starts[k] : starts[k] + sizes[k]].tolist(), scale)
+                points[k], area[k] = text_of(out), polygon.area(out)
+        return np.arange(len(starts)), [points, area]
+
+    return _by_parent(children, ["page_id", "parent_id"], kernel, single, "points string, area double")
 
 
 def convex_hull(children: DataFrame) -> DataFrame:
@@ -176,3 +191,36 @@ def simplifies(outline: Column, tolerance: float) -> Column:
     """Whether an outline is resampled: not if it has few points, is short, small, or has no more points than that."""
     n, edge = F.size(outline), ring.perimeter(outline)
     return (F.lit(tolerance) > 0) & (n >= 10) & (edge >= 4 * tolerance) & (edge <= tolerance * n) & (F.sqrt(ring.area(outline)) >= 0.1 * tolerance)
+
+
+def _by_parent(rows: DataFrame, keys: list[str], kernel: Callable, single: Callable, result: str) -> DataFrame:
+    """Rows (.., seg_id, points) by parent, in the order of ids, in batches of whole parents.
+
+    kernel(ids, box, starts, sizes) takes the parents whose outlines are all rectangles, and gives the place of its
+    parent for each row of the result, and the result's columns; single(ids, rings) takes each of the others and gives
+    tuples. ``starts`` and ``sizes`` are of parents, ``box`` has the rows' corners.
+    """
+    names = [f.split()[0] for f in result.split(", ")]
+    kinds = {f.split()[0]: {"string": pa.string(), "double": pa.float64()}[f.split()[1]] for f in result.split(", ")}
+
+    def made(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        ids = groups.chunk(table, "seg_id")
+        rings = flat.of_texts(groups.chunk(table, "points"))
+        sizes = np.diff(np.append(starts, table.num_rows))
+        is_box, box = boxes.of_rings(rings)
+        plain = np.logical_and.reduceat(is_box, starts)
+        rows, values = kernel(ids, box, starts[plain], sizes[plain])
+        of, columns = [np.flatnonzero(plain)[rows]], [[pa.array(v, kinds[n]) if not isinstance(v, pa.Array) else v] for n, v in zip(names, values, strict=True)]
+        for k in np.flatnonzero(~plain).tolist():
+            at = range(int(starts[k]), int(starts[k] + sizes[k]))
+            found = single([ids[i].as_py() for i in at], [rings.ring(i) for i in at])
+            of.append(np.full(len(found), k))
+            for column, n, v in zip(columns, names, zip(*found, strict=True) if found else [()] * len(names), strict=True):
+                column.append(pa.array(v, kinds[n]))
+        head = table.select(keys).take(pa.array(starts[np.concatenate(of)]))
+        for n, column in zip(names, columns, strict=True):
+            head = head.append_column(n, pa.chunked_array(column, kinds[n]))
+        return head.combine_chunks()
+
+    filled = rows.where(F.length("points") > 0).select(*keys, "seg_id", "points")
+    return groups.whole(filled, keys, ["seg_id", "points"], made, f"{groups.kinds(rows, *keys)}, {result}")
