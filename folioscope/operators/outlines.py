@@ -160,31 +160,24 @@ def spread(segments: DataFrame, by: int) -> DataFrame:
     return _grouped(segments, ["page_id"], grown, "seg_id string, points string, area double")
 
 
-def resample(rows: DataFrame, step: float) -> DataFrame:
-    """rows with their rings (ring) as points at equal distances along them from the first one, as column functions.
+def resample(rows: DataFrame, step: float, every: bool = True) -> DataFrame:
+    """rows with their rings (ring) as points at equal distances along them from the first one.
 
-    Edges and the distances walked up to them are columns of their own, so that each is worked out once.
+    Unless ``every`` ring is asked for, those that ``simplifies`` leaves alone go, in the same pass.
     """
-    after = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
-    edges = F.zip_with("ring", after, lambda p, q: F.struct(p.x.alias("x"), p.y.alias("y"), (q.x - p.x).alias("dx"), (q.y - p.y).alias("dy"), F.hypot(q.x - p.x, q.y - p.y).alias("size")))
-    sizes = F.transform("_edges", lambda e: e["size"])
-    begun = F.aggregate(sizes, F.array(F.lit(0.0)), lambda acc, size: F.array_append(acc, F.element_at(acc, -1) + size))
-    # Distances stop short of the ring's whole length.
-    last = F.greatest(F.ceil(F.element_at("_begun", -1) / step - 1e-9).cast("int") - 1, F.lit(0))
+    names = rows.columns
 
-    def point(k: Column) -> Column:
-        s = k * F.lit(float(step))
-        upto = F.least(F.size(F.filter("_begun", lambda b: b <= s)), F.size("_edges"))
-        met = F.struct(F.element_at("_edges", upto).alias("e"), (s - F.element_at("_begun", upto)).alias("gone"))
-
-        def place(m: Column) -> Column:
-            t = m["gone"] / F.greatest(m["e"]["size"], F.lit(1e-12))
-            return F.struct((m["e"]["x"] + m["e"]["dx"] * t).alias("x"), (m["e"]["y"] + m["e"]["dy"] * t).alias("y"))
-
-        return F.transform(F.array(met), place)[0]
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            if not every:
+                given = flat.of_points(batch.column(names.index("ring")))
+                batch = batch.filter(pa.array(_simplifies(given, step)))
+            given = batch.column(names.index("ring"))
+            made = flat.to_points(flat.resample(flat.of_points(given), step))
+            made = pc.if_else(given.is_valid(), made, pa.scalar(None, made.type)) if given.null_count else made
+            yield pa.RecordBatch.from_arrays([made if n == "ring" else batch.column(k) for k, n in enumerate(names)], names)
 
-    staged = rows.withColumn("_edges", edges).withColumn("_begun", begun).withColumn("_last", last)
-    return staged.withColumn("ring", F.transform(F.sequence(F.lit(0), "_last"), point)).drop("_edges", "_begun", "_last")
+    return rows.mapInArrow(batches, groups.kinds(rows, *names))
 
 
 def simplifies(outline: Column, tolerance: float) -> Column:
@@ -224,3 +217,21 @@ def _by_parent(rows: DataFrame, keys: list[str], kernel: Callable, single: Calla
 
     filled = rows.where(F.length("points") > 0).select(*keys, "seg_id", "points")
     return groups.whole(filled, keys, ["seg_id", "points"], made, f"{groups.kinds(rows, *keys)}, {result}")
+
+
+def _simplifies(given: flat.Rings, tolerance: float) -> np.ndarray:
+    area, edge = flat.measures(given)
+    n = given.sizes
+    return (tolerance > 0) & (n >= 10) & (edge >= 4 * tolerance) & (edge <= tolerance * n) & (np.sqrt(area) >= 0.1 * tolerance)
+
+
+def sums(outline: Column) -> Column:
+    """The sums of an outline's coordinates (x, y), in the order of its points."""
+
+    def summed(rings: pa.Array) -> pa.Array:
+        given = flat.of_points(rings)
+        of = np.repeat(np.arange(len(given.sizes)), given.sizes)
+        x, y = (np.bincount(of, v, len(given.sizes)) for v in (given.x, given.y))
+        return pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+
+    return F.arrow_udf(summed, "x double, y double")(outline)

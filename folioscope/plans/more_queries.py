@@ -112,9 +112,9 @@ def _children(s, d):
 
 
 def _resampled(s, d):
-    rows = ol.resample(rings(layout(s, d, "seg_gt")).where(ol.simplifies(F.col("ring"), STEP)).select("page_id", "seg_id", "ring"), STEP)
-    total = lambda f: F.round(F.aggregate(F.transform("ring", f), F.lit(0.0), lambda a, b: a + b), 3)
-    return rows.select("page_id", "seg_id", F.size("ring").alias("n"), total(lambda p: p.x).alias("sum_x"), total(lambda p: p.y).alias("sum_y"))
+    rows = ol.resample(rings(layout(s, d, "seg_gt")).select("page_id", "seg_id", "ring"), STEP, every=False)
+    rows = rows.select("page_id", "seg_id", F.size("ring").alias("n"), ol.sums(F.col("ring")).alias("s"))
+    return rows.select("page_id", "seg_id", "n", F.round("s.x", 3).alias("sum_x"), F.round("s.y", 3).alias("sum_y"))
 
 
 def _channels(s, d):
