@@ -145,10 +145,14 @@ def convex_hull(children: DataFrame) -> DataFrame:
 def mst_bridges(segments: DataFrame) -> DataFrame:
     """(page_id, a, b, distance): the spanning tree of nearest points over each page's outlines."""
 
-    def tree(ids, rings) -> list[dict]:
-        return [{"a": ids[i], "b": ids[j], "distance": round(d, 3)} for i, j, d, _, _ in polygon.bridges(rings)]
+    def single(ids, rings) -> list[tuple]:
+        return [(ids[i], ids[j], round(d, 3)) for i, j, d, _, _ in polygon.bridges(rings)]
 
-    return _grouped(segments, ["page_id"], tree, "a string, b string, distance double")
+    def kernel(ids, box, starts, sizes):
+        a, b, away = boxes.trees(box, starts, sizes)
+        return np.searchsorted(starts, a, "right") - 1, [ids.take(pa.array(a)), ids.take(pa.array(b)), [round(d, 3) for d in away.tolist()]]
+
+    return _by_parent(segments, ["page_id"], kernel, single, "a string, b string, distance double")
 
 
 def spread(segments: DataFrame, by: int) -> DataFrame:
