@@ -158,10 +158,25 @@ def mst_bridges(segments: DataFrame) -> DataFrame:
 def spread(segments: DataFrame, by: int) -> DataFrame:
     """(page_id, seg_id, points, area): outlines grown by a distance into the space that no sibling holds."""
 
-    def grown(ids, rings) -> list[dict]:
-        return [{"seg_id": k, "points": text_of(r), "area": polygon.area(r)} for k, r in zip(ids, polygon.spread(rings, by), strict=True)]
+    def single(ids, rings) -> list[tuple]:
+        return [(k, text_of(r), polygon.area(r)) for k, r in zip(ids, polygon.spread(rings, by), strict=True)]
 
-    return _grouped(segments, ["page_id"], grown, "seg_id string, points string, area double")
+    def kernel(ids, box, starts, sizes):
+        begin = np.cumsum(sizes) - sizes
+        at = np.repeat(starts - begin, sizes) + np.arange(int(sizes.sum()))
+        place = np.zeros(len(box), int)
+        place[at] = np.arange(len(at))
+        wide = box[at] + np.array([-by, -by, by, by])
+        points, area = boxes.box_text(wide).to_pylist(), boxes.area(wide)
+        first, second = boxes.meeting(box, starts, sizes, by)
+        begin = np.flatnonzero(np.diff(first, prepend=-1))
+        corners, others = box.tolist(), second.tolist()
+        for i, a, b in zip(first[begin].tolist(), begin.tolist(), np.append(begin, len(first))[1:].tolist(), strict=True):
+            out = boxes.grown(corners[i], by, [corners[j] for j in others[a:b]])
+            points[place[i]], area[place[i]] = text_of(out), polygon.area(out)
+        return np.repeat(np.arange(len(starts)), sizes), [ids.take(pa.array(at)), points, area]
+
+    return _by_parent(segments, ["page_id"], kernel, single, "seg_id string, points string, area double")
 
 
 def resample(rows: DataFrame, step: float, every: bool = True) -> DataFrame:
