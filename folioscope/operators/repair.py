@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions import polygon, rect, ring
+from ..functions import flat, rect, ring
+from . import groups
 
 #: A smaller share of overlap leaves a pair undecided.
 SHARE = 0.9
@@ -105,18 +106,19 @@ def line_actions(pairs: DataFrame) -> DataFrame:
 
 
 def segment_validity(outlines: DataFrame) -> DataFrame:
-    """(.., reason): the first thing wrong with an outline (ring), null where nothing is.
+    """(.., reason): the first thing wrong with an outline (ring), null where nothing is; coordinates are cut to whole ones.
 
-    Crossing edges are looked for among all pairs of a ring's edges, which arrays of numbers do in one step.
+    Outlines are looked at by batches: convex ones can't cross themselves, the edges of the others are compared in pairs.
     """
 
-    def batches(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            rings = (np.array(t.replace(" ", ",").split(","), float).reshape(-1, 2) if t else np.zeros((0, 2)) for t in batch["points"])
-            yield batch[["page_id", "seg_id"]].assign(reason=pd.array([polygon.problem(r) for r in rings], "string"))
+            given = flat.of_points(batch.column("ring"))
+            reason = flat.problems(given._replace(x=np.trunc(given.x), y=np.trunc(given.y)))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("seg_id"), pa.array(reason, pa.string())], ["page_id", "seg_id", "reason"])
 
-    rows = outlines.select("page_id", "seg_id", ring.serialize(F.col("ring")).alias("points"))
-    return rows.mapInPandas(batches, f"page_id {rows.schema['page_id'].dataType.simpleString()}, seg_id string, reason string")
+    rows = outlines.select("page_id", "seg_id", "ring")
+    return rows.mapInArrow(batches, f"{groups.kinds(rows, 'page_id')}, seg_id string, reason string")
 
 
 def ensure_valid(outlines: DataFrame) -> DataFrame:
