@@ -43,11 +43,15 @@ def _rowwise(rows: DataFrame, keys: str, kernel: Callable[[pd.Series], dict], re
 def merge_outline(pairs: DataFrame) -> DataFrame:
     """(page_id, a_seg_id, b_seg_id, points, area) of the joint outline of each pair (a_points, b_points)."""
 
-    def joined(r) -> dict:
-        out = polygon.join([ring_of(r.a_points), ring_of(r.b_points)])
-        return {"points": text_of(out), "area": polygon.area(out)}
+    def single(a, b) -> tuple:
+        out = polygon.join([a, b])
+        return text_of(out), polygon.area(out)
 
-    return _rowwise(pairs, "page_id a_seg_id b_seg_id", joined, "points string, area double")
+    def kernel(a, b) -> list:
+        rings = [boxes.join(list(pair)) for pair in zip(a.tolist(), b.tolist(), strict=True)]
+        return [list(map(text_of, rings)), list(map(polygon.area, rings))]
+
+    return _pairwise(pairs, "page_id a_seg_id b_seg_id", ("a_points", "b_points"), kernel, single, "points string, area double")
 
 
 def apply_splits(pairs: DataFrame) -> DataFrame:
@@ -56,12 +60,30 @@ def apply_splits(pairs: DataFrame) -> DataFrame:
     Several parts are bridged to one outline; ``area`` is that of the parts. Nothing left gives null points.
     """
 
-    def cut(r) -> dict:
-        parts = polygon.difference(ring_of(r.points), ring_of(r.other_points))
+    def single(a, b) -> tuple:
+        parts = polygon.difference(a, b)
         out = polygon.join(parts) if len(parts) > 1 else parts[0] if parts else None
-        return {"cut": text_of(out) if out else None, "area": sum(map(polygon.area, parts)), "parts": len(parts)}
-
-    made = _rowwise(pairs, "page_id line_id other_id", cut, "cut string, area double, parts long")
+        return text_of(out) if out else None, sum(map(polygon.area, parts)), len(parts)
+
+    def kernel(a, b) -> list:
+        bounds, sides = boxes.cuts(a, b)
+        points, area, parts = np.full(len(a), None, object), np.zeros(len(a)), np.zeros(len(a), int)
+        for way in np.unique(sides).tolist():
+            at = np.flatnonzero(sides == way)
+            rings = boxes.cut(*(bool(way & 1 << k) for k in range(4)))
+            xs, ys = bounds[0][:, at], bounds[1][:, at]
+            parts[at] = len(rings)
+            for r in rings:
+                x, y = [xs[i] for i, _ in r], [ys[j] for _, j in r]
+                area[at] += np.abs(sum(x[k - 1] * y[k] - x[k] * y[k - 1] for k in range(len(r)))) / 2
+            if len(rings) == 1:
+                points[at] = boxes.text([xs[i] for i, _ in rings[0]], [ys[j] for _, j in rings[0]]).to_numpy(zero_copy_only=False)
+            elif rings:
+                for k, u, v in zip(at.tolist(), xs.T.tolist(), ys.T.tolist(), strict=True):
+                    points[k] = text_of(boxes.join([(u[r[0][0]], v[r[0][1]], u[r[2][0]], v[r[2][1]]) for r in rings]))
+        return [points, area, parts]
+
+    made = _pairwise(pairs, "page_id line_id other_id", ("points", "other_points"), kernel, single, "cut string, area double, parts long")
     return made.withColumnRenamed("cut", "points")
 
 
@@ -205,6 +227,28 @@ def simplifies(outline: Column, tolerance: float) -> Column:
     return (F.lit(tolerance) > 0) & (n >= 10) & (edge >= 4 * tolerance) & (edge <= tolerance * n) & (F.sqrt(ring.area(outline)) >= 0.1 * tolerance)
 
 
+def _pairwise(pairs: DataFrame, keys: str, sides: tuple[str, str], kernel: Callable, single: Callable, result: str) -> DataFrame:
+    """``result`` by row, from two outlines (sides): kernel(a, b) of the corners where both are rectangles, else single(a, b)."""
+    names = [f.split()[0] for f in result.split(", ")]
+    types = {f.split()[0]: {"string": pa.string(), "double": pa.float64(), "long": pa.int64()}[f.split()[1]] for f in result.split(", ")}
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            a, b = (flat.of_texts(batch.column(side)) for side in sides)
+            (a_is, a_box), (b_is, b_box) = boxes.of_rings(a), boxes.of_rings(b)
+            plain = a_is & b_is
+            columns = kernel(a_box[plain], b_box[plain])
+            other = np.flatnonzero(~plain).tolist()
+            if other:
+                rows = [single(a.ring(k), b.ring(k)) for k in other]
+                back = pa.array(np.argsort(np.concatenate([np.flatnonzero(plain), other]), kind="stable"))
+                columns = [pa.concat_arrays([pa.array(c, types[n]), pa.array(v, types[n])]).take(back) for n, c, v in zip(names, columns, zip(*rows, strict=True), strict=True)]
+            made = [pa.array(c, types[n]) if not isinstance(c, pa.Array) else c for n, c in zip(names, columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in keys.split()] + made, [*keys.split(), *names])
+
+    return pairs.select(*keys.split(), *sides).mapInArrow(batches, f"{groups.kinds(pairs, *keys.split())}, {result}")
+
+
 def _by_parent(rows: DataFrame, keys: list[str], kernel: Callable, single: Callable, result: str) -> DataFrame:
     """Rows (.., seg_id, points) by parent, in the order of ids, in batches of whole parents.
 
