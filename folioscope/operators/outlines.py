@@ -157,11 +157,28 @@ def project_hull(children: DataFrame, scale: float = 20) -> DataFrame:
 def convex_hull(children: DataFrame) -> DataFrame:
     """(page_id, parent_id, points, area): the convex hull of each parent's children."""
 
-    def outline(_, rings) -> list[dict]:
+    def single(_, rings) -> list[tuple]:
         out = polygon.hull([p for r in rings for p in r])
-        return [{"points": text_of(out), "area": polygon.area(out)}]
+        return [(text_of(out), polygon.area(out))]
 
-    return _grouped(children, ["page_id", "parent_id"], outline, "points string, area double")
+    def kernel(_, box, starts, sizes):
+        if not len(starts):
+            return np.zeros(0, int), [[], []]
+        of, begin = np.repeat(np.arange(len(starts)), sizes), np.cumsum(sizes) - sizes
+        own = box[np.repeat(starts - begin, sizes) + np.arange(len(of))]
+        joint = boxes.hulls(own, begin)
+        points, area = boxes.box_text(joint), boxes.area(joint)
+        at = own == joint[of]
+        # The hull is the joint box where each of its corners is one of a child.
+        corner = np.logical_and.reduce([np.logical_or.reduceat(at[:, x] & at[:, y], begin) for x in (0, 2) for y in (1, 3)])
+        other = np.flatnonzero(~corner).tolist()
+        if other:
+            points = points.to_pylist()
+            for k in other:
+                points[k], area[k] = single(None, [boxes.ring(b) for b in box[starts[k] : starts[k] + sizes[k]].tolist()])[0]
+        return np.arange(len(starts)), [points, area]
+
+    return _by_parent(children, ["page_id", "parent_id"], kernel, single, "points string, area double")
 
 
 def mst_bridges(segments: DataFrame) -> DataFrame:

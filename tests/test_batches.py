@@ -141,6 +141,12 @@ def test_f11_cuts_and_unions_of_batches(spark):
         assert (r.points, r.area) == (ol.text_of(out), polygon.area(out))
 
 
+def test_f12_hulls_of_batches(spark, small_batches):
+    pages, rows = some_pages(spark)
+    found = {r.page_id: (r.points, r.area) for r in ol.convex_hull(rows).collect()}
+    assert found == {k: (ol.text_of(out := polygon.hull([q for r in p for q in r])), polygon.area(out)) for k, p in pages.items()}
+
+
 def test_large_groups_are_met_in_stripes(monkeypatch):
     monkeypatch.setattr(flat, "PAIRS", 8)
     box = np.array([(0, 0, 5, 5), (5, 0, 9, 5), (20, 20, 21, 21), (6, 3, 7, 4)])
