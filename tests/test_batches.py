@@ -147,6 +147,13 @@ def test_f12_hulls_of_batches(spark, small_batches):
     assert found == {k: (ol.text_of(out := polygon.hull([q for r in p for q in r])), polygon.area(out)) for k, p in pages.items()}
 
 
+def test_f17_which_outlines_are_resampled(spark):
+    many = [(float(x), 0.0) for x in range(0, 100, 10)] + [(100.0, 60.0), (0.0, 60.0)]
+    rows = spark.createDataFrame([("a", many), ("b", rect(0, 0, 100, 60)), ("c", None)], "id string, ring array<struct<x:double,y:double>>")
+    assert {r.id: r.yes for r in rows.select("id", ol.simplifies(rows.ring, 20).alias("yes")).collect()} == {"a": False, "b": False, "c": None}
+    assert {r.id: r.yes for r in rows.select("id", ol.simplifies(rows.ring, 30).alias("yes")).collect()} == {"a": True, "b": False, "c": None}
+
+
 def test_large_groups_are_met_in_stripes(monkeypatch):
     monkeypatch.setattr(flat, "PAIRS", 8)
     box = np.array([(0, 0, 5, 5), (5, 0, 9, 5), (20, 20, 21, 21), (6, 3, 7, 4)])
