@@ -6,9 +6,15 @@ never leave their page; everything later is one aggregation by page and category
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import rect
+from . import groups
 
 #: A pair matches where intersection over union, over truth or over prediction reaches this.
 MATCH = 0.5
@@ -180,44 +186,83 @@ RANGES = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0*
 THRESHOLDS = [round(0.5 + 0.05 * k, 2) for k in range(10)]
 
 
+def _match_greedily(dt_starts: np.ndarray, score_area: np.ndarray, of: np.ndarray, truth: np.ndarray, iou: np.ndarray, area: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each prediction is a true or false positive, by threshold and range: predictions by falling score in groups.
+
+    ``of`` is the prediction of a candidate, ``truth`` a number of its truth that grows with the truth's id in a group.
+    The k-th predictions of all groups are matched together.
+    """
+    limits = np.array([RANGES[r] for _ in THRESHOLDS for r in RANGES]).T
+    least = np.repeat(THRESHOLDS, len(RANGES)) - 1e-10
+    outside = lambda areas: (areas[:, None] < limits[0]) | (areas[:, None] > limits[1])
+    n, none = len(score_area), np.iinfo(np.int64).max
+    turn = np.arange(n) - np.repeat(dt_starts, np.diff(np.append(dt_starts, n)))
+    order = np.lexsort((truth, -iou, of, turn[of]))
+    of, truth, iou, area = of[order], truth[order], iou[order], area[order]
+    known, truth = np.unique(truth, return_inverse=True)
+    used = np.zeros((len(known), len(least)), bool)
+    tp, fp = np.zeros((n, len(least)), bool), ~outside(score_area)
+    bounds = np.flatnonzero(np.diff(turn[of], prepend=-1))
+    for low, high in zip(bounds.tolist(), np.append(bounds, len(of))[1:].tolist(), strict=True):
+        at = slice(low, high)
+        ignored = outside(area[at])
+        # Truths outside the range of areas come after all others; places tell candidates apart.
+        place = np.where((iou[at, None] >= least) & ~used[truth[at]], np.arange(low, high)[:, None] + ignored * np.int64(len(of)), none)
+        first = np.flatnonzero(np.diff(of[at], prepend=-1))
+        best = np.minimum.reduceat(place, first, axis=0)
+        hit = best < none
+        own = of[at][first]
+        tp[own] = hit & (best < len(of))
+        fp[own] &= ~hit
+        row, setting = np.nonzero(hit)
+        used[truth[best[row, setting] % len(of)], setting] = True
+    return tp, fp
+
+
 def greedy_matches(gt: DataFrame, dt: DataFrame, pairs: DataFrame) -> DataFrame:
     """(category, threshold, range, score, tp, fp): counts of predictions, matched one to one by falling score.
 
-    A page's predictions of a category are folded over in order, each taking the best truth left; truths outside the
-    range of areas are taken last and then count for nothing, like unmatched predictions outside it. Ties in score go
-    to the lower id, ties in overlap too.
+    A page's predictions of a category are taken in order, each with the best truth left; truths outside the range of
+    areas are taken last and then count for nothing, like unmatched predictions outside it. Ties in score go to the
+    lower id, ties in overlap too. Whole pages are matched by batches, which send their counts on, not their segments.
     """
-    candidates = pairs.groupBy(*KEYS, F.col("dt_id").alias("seg_id")).agg(
-        F.collect_list(F.struct("gt_id", (F.col("inter") / F.col("union_area")).alias("iou"), F.col("gt_area").cast("double").alias("area"))).alias("all")
+    left = dt.select(*KEYS, F.lit(False).alias("pair"), "seg_id", F.lit(None).cast("string").alias("gt_id"), "score", F.lit(None).cast("double").alias("iou"), F.col("area").cast("double").alias("area"))
+    right = pairs.where("dt_id is not null and gt_id is not null").select(
+        *KEYS, F.lit(True).alias("pair"), F.col("dt_id").alias("seg_id"), "gt_id", F.lit(None).cast("double").alias("score"), (F.col("inter") / F.col("union_area")).alias("iou"), F.col("gt_area").cast("double").alias("area")
     )
-    empty = F.array().cast("array<struct<gt_id:string,iou:double,area:double>>")
-    rows = dt.select(*KEYS, "seg_id", "score", F.col("area").cast("double").alias("area")).join(candidates, [*KEYS, "seg_id"], "left")
-    order = F.struct((-F.col("score")).alias("order"), "seg_id", "score", "area", F.coalesce("all", empty).alias("all"))
-    pages = rows.groupBy(*KEYS).agg(F.array_sort(F.collect_list(order)).alias("found"))
-    settings = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(r).alias("range"), F.lit(a).alias("low"), F.lit(b).alias("high")) for t in THRESHOLDS for r, (a, b) in RANGES.items()])
-    each = pages.select("category", "found", F.explode(settings).alias("s"))
-
-    def outside(area):
-        return (area < F.col("s.low")) | (area > F.col("s.high"))
-
-    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<score:double,tp:bigint,fp:bigint>>").alias("out"))
-
-    def step(acc, d):
-        left = F.filter(d["all"], lambda c: (c["iou"] >= F.col("s.threshold") - 1e-10) & ~F.array_contains(acc["used"], c["gt_id"]))
-        ordered = F.array_sort(F.transform(left, lambda c: F.struct(outside(c["area"]).alias("ignored"), (-c["iou"]).alias("far"), c["gt_id"].alias("gt_id"))))
-
-        def taken(best):
-            hit = best.isNotNull()
-            tp = F.coalesce((hit & ~best["ignored"]).cast("long"), F.lit(0).cast("long"))
-            row = F.struct(d["score"].alias("score"), tp.alias("tp"), (~hit & ~outside(d["area"])).cast("long").alias("fp"))
-            used = F.when(hit, F.array_append(acc["used"], best["gt_id"])).otherwise(acc["used"])
-            return F.struct(used.alias("used"), F.array_append(acc["out"], row).alias("out"))
-
-        # By way of an array of one, so that the best is looked for once.
-        return F.transform(F.array(F.get(ordered, F.lit(0))), taken)[0]
-
-    folded = each.select("category", "s.threshold", "s.range", F.explode(F.aggregate("found", start, step)["out"]).alias("o"))
-    return folded.groupBy("category", "threshold", "range", F.col("o.score").alias("score")).agg(F.sum("o.tp").alias("tp"), F.sum("o.fp").alias("fp"))
+
+    def kernel(table: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+        column = lambda n: groups.chunk(table, n).to_numpy(zero_copy_only=False)
+        group, pair = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows))), column("pair")
+        ids = groups.chunk(table, "seg_id").dictionary_encode()
+        key = group * (len(ids.dictionary) + 1) + ids.indices.fill_null(len(ids.dictionary)).to_numpy()
+        truths = groups.chunk(table, "gt_id").dictionary_encode()
+        # Ids are compared as bytes.
+        rank = np.argsort(pc.sort_indices(truths.dictionary).to_numpy())
+        dt_rows, pair_rows = np.flatnonzero(~pair), np.flatnonzero(pair)
+        if not len(dt_rows):
+            return
+        own, of = groups.met(key[pair_rows], key[dt_rows])
+        rows = pair_rows[own]
+        truth = group[rows] * (len(rank) + 1) + (rank[truths.indices.fill_null(0).to_numpy()[rows]] if len(rank) else 0)
+        area, iou, score, category = column("area"), column("iou"), column("score")[dt_rows], groups.chunk(table, "category").dictionary_encode()
+        dt_starts = np.flatnonzero(np.diff(group[dt_rows], prepend=-1))
+        tp, fp = _match_greedily(dt_starts, area[dt_rows], of, truth, iou[rows], area[rows])
+        scores, place = np.unique(score, return_inverse=True)
+        kind = category.indices.to_numpy()[dt_rows] * len(scores) + place
+        order = np.argsort(kind, kind="stable")
+        first = np.flatnonzero(np.diff(kind[order], prepend=-1))
+        kind, each = kind[order][first], len(THRESHOLDS) * len(RANGES)
+        tp, fp = (np.add.reduceat(v[order].astype(np.int64), first, axis=0).ravel() for v in (tp, fp))
+        names = pa.DictionaryArray.from_arrays(pa.array(np.tile(np.arange(len(RANGES)), len(kind) * len(THRESHOLDS)).astype(np.int32)), pa.array(list(RANGES)))
+        yield pa.table({
+            "category": category.dictionary.take(pa.array(np.repeat(kind // len(scores), each))), "threshold": np.tile(np.repeat(THRESHOLDS, len(RANGES)), len(kind)),
+            "range": names.cast(pa.string()), "score": np.repeat(scores[kind % len(scores)], each), "tp": tp, "fp": fp,
+        })
+
+    order = ["pair", F.desc("score"), "seg_id"]
+    made = groups.whole(left.unionAll(right), KEYS, order, kernel, "category string, threshold double, range string, score double, tp long, fp long")
+    return made.groupBy("category", "threshold", "range", "score").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
 
 
 def coco_ap(gt: DataFrame, dt: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ def _by_parent(rows: DataFrame, keys: list[str], kernel: Callable, single: Calla
     names = [f.split()[0] for f in result.split(", ")]
     kinds = {f.split()[0]: {"string": pa.string(), "double": pa.float64()}[f.split()[1]] for f in result.split(", ")}
 
-    def made(table: pa.Table, starts: np.ndarray) -> pa.Table:
+    def made(table: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
         ids = groups.chunk(table, "seg_id")
         rings = flat.of_texts(groups.chunk(table, "points"))
         sizes = np.diff(np.append(starts, table.num_rows))
@@ -146,7 +146,7 @@ def _by_parent(rows: DataFrame, keys: list[str], kernel: Callable, single: Calla
         head = table.select(keys).take(pa.array(starts[np.concatenate(of)]))
         for n, column in zip(names, columns, strict=True):
             head = head.append_column(n, pa.chunked_array(column, kinds[n]))
-        return head.combine_chunks()
+        yield head.combine_chunks()
 
     filled = rows.where(F.length("points") > 0).select(*keys, "seg_id", "points")
     return groups.whole(filled, keys, ["seg_id", "points"], made, f"{groups.kinds(rows, *keys)}, {result}")
