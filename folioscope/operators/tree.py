@@ -2,34 +2,57 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rect, ring
+from . import groups
 
 #: Attributes that a merge can lose.
 ATTRIBUTES = ("orientation", "type", "script", "language")
 
 
+def _codes(table: pa.Table, names: list[str], starts: np.ndarray) -> list[np.ndarray]:
+    """Columns of ids as numbers, the same for equal ids of a page, below 0 for null ids and rows without a page."""
+    page = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
+    ids = pa.chunked_array([groups.chunk(table, n) for n in names]).combine_chunks().dictionary_encode()
+    code = ids.indices.fill_null(-1).to_numpy().astype(np.int64).reshape(len(names), -1)
+    none = (code < 0) | groups.chunk(table, "page_id").is_null().to_numpy(zero_copy_only=False)
+    return list(np.where(none, -1 - np.arange(len(names))[:, None], page * len(ids.dictionary) + code))
+
+
 def regions_recursive(segments: DataFrame, classes: list[str] | None = None, depth: int | None = None) -> DataFrame:
     """(page_id, seg_id, depth, root, path) of all regions below the top level ones, level by level.
 
-    Each level is an equal-key join on page and parent; levels are taken until one is empty, or ``depth`` of them.
-    Classes are looked up after the descent, so a region of a class left out still leads to its children.
+    Levels are taken in batches of whole pages until one is empty, or ``depth`` of them. Classes are looked up after the
+    descent, so a region of a class left out still leads to its children. Regions that lie in themselves are an error.
     """
+
+    def kernel(table: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+        ids, page, kind = (groups.chunk(table, n) for n in ("seg_id", "page_id", "seg_class"))
+        top = groups.chunk(table, "parent_id").is_null().to_numpy(zero_copy_only=False)
+        own, up = _codes(table, ["seg_id", "parent_id"], starts)
+        below, most = np.flatnonzero(~top), int(np.diff(np.append(starts, table.num_rows)).max())
+        row = root = np.flatnonzero(top)
+        path, at = ids.take(pa.array(row)), 0
+        while len(row) and (depth is None or at < depth):
+            if at > most:
+                raise ValueError("a region lies in itself")
+            place = pa.array(row)
+            yield pa.table({
+                "page_id": page.take(place), "seg_id": ids.take(place), "seg_class": kind.take(place), "depth": pa.array(np.full(len(row), at, np.int32)),
+                "root": ids.take(pa.array(root)), "path": path,
+            })
+            lower, upper = groups.met(up[below], own[row])
+            row, root, path, at = below[lower], root[upper], path.take(pa.array(upper)), at + 1
+            path = pc.binary_join_element_wise(path, ids.take(pa.array(row)), "/", null_handling="skip")
+
     rows = segments.select("page_id", "seg_id", "parent_id", "seg_class")
-    level = rows.where("parent_id is null").select("page_id", "seg_id", "seg_class", F.lit(0).alias("depth"), F.col("seg_id").alias("root"), F.col("seg_id").alias("path"))
-    below = rows.where("parent_id is not null").withColumnRenamed("seg_class", "own_class").withColumnRenamed("seg_id", "own_id")
-    levels = []
-    while (depth is None or len(levels) < depth) and not level.isEmpty():
-        levels.append(level)
-        up = level.withColumnRenamed("seg_id", "parent_id")
-        level = below.join(up, ["page_id", "parent_id"]).select(
-            "page_id", F.col("own_id").alias("seg_id"), F.col("own_class").alias("seg_class"), (F.col("depth") + 1).alias("depth"), "root",
-            F.concat_ws("/", "path", "own_id").alias("path"),
-        )
-    every = reduce(DataFrame.unionByName, levels) if levels else level
+    every = groups.whole(rows, ["page_id"], ["seg_id"], kernel, f"{groups.kinds(rows, 'page_id', 'seg_id', 'seg_class')}, depth int, root string, path string")
     return (every.where(F.col("seg_class").isin(classes)) if classes else every).drop("seg_class")
 
 
