@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import rect
+from . import groups
 
 
 def pixels(images: DataFrame, key: str, column: str, width: int) -> DataFrame:
@@ -102,17 +104,70 @@ def component_scale(parts: DataFrame) -> DataFrame:
     return parts.groupBy("page_id").agg(F.when(F.count("*") > 1, F.coalesce(F.floor(F.percentile(fitting, 0.5)), F.lit(43))).otherwise(F.lit(43)).cast("int").alias("scale"))
 
 
+#: Cells that are painted at once.
+CELLS = 1 << 21
+
+
+def _painted(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cx, cy, the last row over it) of the cells of rows (page, x0, y0, x1, y1), bounds included, and rows of each page."""
+    page, x0, y0, x1, y1 = cells.T
+    starts = np.flatnonzero(np.diff(page, prepend=-1))
+    left, low = np.minimum.reduceat(x0, starts), np.minimum.reduceat(y0, starts)
+    wide, high = np.maximum.reduceat(x1, starts) - left + 1, np.maximum.reduceat(y1, starts) - low + 1
+    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(page))))
+    base = np.cumsum(wide * high) - wide * high
+    rows = y1 - y0 + 1
+    count = (x1 - x0 + 1) * rows
+    row = np.repeat(np.arange(len(page)), count)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    cx, cy = x0[row] + k // rows[row], y0[row] + k % rows[row]
+    slot = base[of[row]] + (cx - left[of[row]]) * high[of[row]] + cy - low[of[row]]
+    if (wide * high).sum() > 8 * len(row) + CELLS:
+        slot, last = np.unique(slot[::-1], return_index=True)
+        last = len(row) - 1 - last
+    else:
+        canvas = np.full(int((wide * high).sum()), -1)
+        canvas[slot] = np.arange(len(row))
+        last = canvas[canvas >= 0]
+    return cx[last], cy[last], row[last]
+
+
+def _striped(cells: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As _painted for one page of many cells, in stripes of columns that are painted row by row."""
+    _, x0, y0, x1, y1 = cells.T
+    low, high = int(y0.min()), int(y1.max() - y0.min()) + 1
+    for left in range(int(x0.min()), int(x1.max()) + 1, step := max(1, 8 * CELLS // high)):
+        canvas = np.full((min(step, int(x1.max()) + 1 - left), high), -1)
+        for k in np.flatnonzero((x0 < left + step) & (x1 >= left)).tolist():
+            canvas[max(0, int(x0[k]) - left) : int(x1[k]) + 1 - left, int(y0[k]) - low : int(y1[k]) + 1 - low] = k
+        cx, cy = np.nonzero(canvas >= 0)
+        yield cx + left, cy + low, canvas[cx, cy]
+
+
 def painter_mask(segments: DataFrame, colors: dict[str, int], cell: int) -> DataFrame:
     """(page_id, cx, cy, color): cells of a mask, each with the colour of the segment drawn last over its corner.
 
-    Segments are drawn in the order of their ids; classes without a colour aren't drawn.
+    Segments are drawn in the order of their ids, in batches of whole pages; classes without a colour aren't drawn.
+    Only cells that show in the end leave a batch, and none is exchanged or sorted.
     """
     table = F.create_map(*[F.lit(x) for pair in sorted(colors.items()) for x in pair])
     x0, y0, x1, y1 = rect.corners()
     low = lambda v: F.ceil(F.greatest(v, F.lit(0)) / cell)
     high = lambda v: F.ceil(v / cell) - 1
     drawn = segments.withColumn("color", F.try_element_at(table, F.col("seg_class"))).where("color is not null")
-    drawn = drawn.where((high(x1) >= low(x0)) & (high(y1) >= low(y0)))
-    rows = drawn.select("page_id", "seg_id", "color", F.explode(F.sequence(low(x0), high(x1))).alias("cx"), low(y0).alias("y0"), high(y1).alias("y1"))
-    cells = rows.select("page_id", "seg_id", "color", "cx", F.explode(F.sequence("y0", "y1")).alias("cy"))
-    return cells.groupBy("page_id", "cx", "cy").agg(F.max_by("color", "seg_id").alias("color"))
+    drawn = drawn.select("page_id", "seg_id", "color", low(x0).alias("x0"), low(y0).alias("y0"), high(x1).alias("x1"), high(y1).alias("y1")).where("x1 >= x0 and y1 >= y0")
+
+    def kernel(found: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+        sizes = np.diff(np.append(starts, found.num_rows))
+        cells = np.stack([np.repeat(np.arange(len(starts)), sizes), *[groups.chunk(found, c).to_numpy() for c in rect.CORNERS]], axis=1)
+        count = (cells[:, 3] - cells[:, 1] + 1) * (cells[:, 4] - cells[:, 2] + 1)
+        by_page = np.add.reduceat(count, starts)
+        first = 0
+        while first < len(starts):
+            upto = max(first + 1, int(np.searchsorted(np.cumsum(by_page[first:]), CELLS, "right")) + first)
+            rows = slice(int(starts[first]), int(starts[upto - 1] + sizes[upto - 1]))
+            for cx, cy, row in _striped(cells[rows]) if by_page[first] > CELLS else [_painted(cells[rows])]:
+                yield found.select(["page_id", "color"]).take(pa.array(row + rows.start)).add_column(1, "cx", pa.array(cx)).add_column(2, "cy", pa.array(cy))
+            first = upto
+
+    return groups.whole(drawn, ["page_id"], ["seg_id", "color"], kernel, f"{groups.kinds(drawn, 'page_id')}, cx long, cy long, {groups.kinds(drawn, 'color')}")
