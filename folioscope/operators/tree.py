@@ -57,14 +57,20 @@ def regions_recursive(segments: DataFrame, classes: list[str] | None = None, dep
 
 
 def text_regions_union(segments: DataFrame) -> DataFrame:
-    """Text regions of the top level, and those right inside its tables."""
+    """Text regions of the top level, and those right inside its tables, in batches of whole pages."""
+
+    def kernel(table: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+        top = groups.chunk(table, "parent_id").is_null().to_numpy(zero_copy_only=False)
+        text, tables = (pc.fill_null(pc.equal(groups.chunk(table, "seg_class"), c), False).to_numpy(zero_copy_only=False) for c in ("TextRegion", "TableRegion"))
+        own, up = _codes(table, ["seg_id", "parent_id"], starts)
+        inner = np.flatnonzero(text & ~top)
+        inner = inner[groups.met(up[inner], own[top & tables])[0]]
+        rows = np.concatenate([np.flatnonzero(text & top), inner])
+        source = pa.array(np.where(np.arange(len(rows)) < len(rows) - len(inner), "page", "table"), pa.string())
+        yield table.select(["page_id", "seg_id"]).take(pa.array(rows)).append_column("source", source)
+
     rows = segments.select("page_id", "seg_id", "parent_id", "seg_class")
-    top = rows.where("parent_id is null")
-    tables = top.where("seg_class = 'TableRegion'").select("page_id", F.col("seg_id").alias("parent_id"))
-    inner = rows.where("seg_class = 'TextRegion'").join(tables, ["page_id", "parent_id"])
-    return top.where("seg_class = 'TextRegion'").select("page_id", "seg_id", F.lit("page").alias("source")).unionByName(
-        inner.select("page_id", "seg_id", F.lit("table").alias("source"))
-    )
+    return groups.whole(rows, ["page_id"], ["seg_id"], kernel, f"{groups.kinds(rows, 'page_id', 'seg_id')}, source string")
 
 
 def style_inherit(rows: DataFrame, levels: list[str]) -> DataFrame:

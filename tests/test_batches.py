@@ -214,3 +214,9 @@ def test_f10_large_pages_are_painted_in_stripes(monkeypatch):
     once = sorted(zip(*(v.tolist() for v in ra._painted(cells)), strict=True))
     monkeypatch.setattr(ra, "CELLS", 4)
     assert sorted(c for part in ra._striped(cells) for c in zip(*(v.tolist() for v in part), strict=True)) == once
+
+
+def test_f18_text_regions_of_batches(spark, small_batches):
+    rows = [(p, s, q, c) for p in range(9) for s, q, c in (("t", None, "TableRegion"), ("a", "t", "TextRegion"), ("b", "a", "TextRegion"), ("c", None, "TextRegion"), ("d", "x", "TextRegion"), ("e", "t", None))]
+    segments = spark.createDataFrame([*rows, (None, "t", None, "TableRegion"), (None, "a", "t", "TextRegion")], "page_id long, seg_id string, parent_id string, seg_class string")
+    assert sorted(map(tuple, tr.text_regions_union(segments).collect())) == [(p, *r) for p in range(9) for r in (("a", "table"), ("c", "page"))]
