@@ -64,12 +64,18 @@ def segment_matches(pairs: DataFrame, least: float = MATCH) -> DataFrame:
 
 
 def misses(gt: DataFrame, dt: DataFrame, matches: DataFrame) -> DataFrame:
-    """(page_id, category, kind, seg_id, area): predictions (fp) and truths (fn) without a match."""
-    out = []
-    for kind, side, key in (("fp", dt, "dt_id"), ("fn", gt, "gt_id")):
-        met = matches.select(*KEYS, F.col(key).alias("seg_id")).distinct()
-        out.append(side.join(met, [*KEYS, "seg_id"], "left_anti").select(*KEYS, F.lit(kind).alias("kind"), "seg_id", "area"))
-    return out[0].unionByName(out[1])
+    """(page_id, category, kind, seg_id, area): predictions (fp) and truths (fn) without a match.
+
+    Segments and the matches' ids, which are made once for both sides, lie in one window.
+    """
+    key = ["page_id", "category", "kind", "seg_id"]
+    side = lambda rows, kind: rows.select(*KEYS, F.lit(kind).alias("kind"), "seg_id", "area", F.lit(False).alias("met"))
+    each = F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("seg_id")) for kind, c in (("fp", "dt_id"), ("fn", "gt_id"))]))
+    met = matches.select(*KEYS, each).select(*key, F.lit(None).cast(gt.schema["area"].dataType).alias("area"), F.lit(True).alias("met"))
+    rows = side(dt, "fp").unionAll(side(gt, "fn")).unionAll(met)
+    # Segments without an id match none.
+    known = F.max("met").over(W.partitionBy(*key)) & F.col("seg_id").isNotNull()
+    return rows.withColumn("known", known).where("not met and not known").select(*key, "area")
 
 
 def counts(gt: DataFrame, dt: DataFrame, matches: DataFrame, by: list[str] = KEYS) -> DataFrame:

@@ -220,3 +220,19 @@ def test_f18_text_regions_of_batches(spark, small_batches):
     rows = [(p, s, q, c) for p in range(9) for s, q, c in (("t", None, "TableRegion"), ("a", "t", "TextRegion"), ("b", "a", "TextRegion"), ("c", None, "TextRegion"), ("d", "x", "TextRegion"), ("e", "t", None))]
     segments = spark.createDataFrame([*rows, (None, "t", None, "TableRegion"), (None, "a", "t", "TextRegion")], "page_id long, seg_id string, parent_id string, seg_class string")
     assert sorted(map(tuple, tr.text_regions_union(segments).collect())) == [(p, *r) for p in range(9) for r in (("a", "table"), ("c", "page"))]
+
+
+def plan(rows) -> str:
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def notes(spark, *ids):
+    return spark.createDataFrame([(p, "c", i, 1.0, 0, 0, 9, 9, 81) for p, i in ids], "page_id long, category string, seg_id string, score double, x0 long, y0 long, x1 long, y1 long, area long")
+
+
+def test_f13_misses_meet_their_matches_once(spark):
+    gt, dt = notes(spark, (1, "g"), (1, "h"), (1, "h"), (2, None)), notes(spark, (1, "d"), (None, "d"), (2, "g"))
+    matches = spark.createDataFrame([(1, "c", "g", "d"), (2, "c", None, "g")], "page_id long, category string, gt_id string, dt_id string")
+    found = ev.misses(gt, dt, matches)
+    assert sorted((r.kind, str(r.page_id), str(r.seg_id), r.area) for r in found.collect()) == [("fn", "1", "h", 81), ("fn", "1", "h", 81), ("fn", "2", "None", 81), ("fp", "None", "d", 81)]
+    assert "Join" not in plan(found)
