@@ -94,9 +94,7 @@ def merge_child_order(targets: DataFrame, ranks: DataFrame, lines: DataFrame) ->
 
     Regions follow each other by ``rank``, their lines by their own places.
     """
-    home = targets.select("page_id", F.col("seg_id").alias("region_id"), "target_id")
-    into = targets.select("page_id", F.col("target_id").alias("region_id"), "target_id")
-    group = home.unionByName(into).distinct()
+    group = targets.select("page_id", F.explode(F.array("seg_id", "target_id")).alias("region_id"), "target_id").distinct()
     order = ranks.select("page_id", F.col("seg_id").alias("region_id"), "rank")
     rows = lines.join(group, ["page_id", "region_id"]).join(order, ["page_id", "region_id"])
     pos = F.row_number().over(W.partitionBy("page_id", "target_id").orderBy("rank", "region_id", "pos")) - 1

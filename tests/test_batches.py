@@ -236,3 +236,12 @@ def test_f13_misses_meet_their_matches_once(spark):
     found = ev.misses(gt, dt, matches)
     assert sorted((r.kind, str(r.page_id), str(r.seg_id), r.area) for r in found.collect()) == [("fn", "1", "h", 81), ("fn", "1", "h", 81), ("fn", "2", "None", 81), ("fp", "None", "d", 81)]
     assert "Join" not in plan(found)
+
+
+def test_f14_merged_regions_are_listed_once(spark):
+    targets = spark.createDataFrame([(1, "a", "t"), (1, "b", "t"), (1, "t", "u")], "page_id long, seg_id string, target_id string")
+    ranks = spark.createDataFrame([(1, k, n) for n, k in enumerate("tabu")], "page_id long, seg_id string, rank int")
+    lines = spark.createDataFrame([(1, k, f"{k}{i}", i) for k in "abtu" for i in (0, 1)], "page_id long, region_id string, line_id string, pos int")
+    made = tr.merge_child_order(targets, ranks, lines)
+    assert sorted((r.region_id, r.pos, r.line_id) for r in made.collect()) == [*(("t", k, v) for k, v in enumerate(("t0", "t1", "a0", "a1", "b0", "b1"))), *(("u", k, v) for k, v in enumerate(("t0", "t1", "u0", "u1")))]
+    assert "Union" not in plan(made)
