@@ -53,17 +53,22 @@ def apply_deletes(segments: DataFrame, decided: DataFrame) -> DataFrame:
 
 def merge_targets(decided: DataFrame) -> DataFrame:
     """(page_id, seg_id, target_id): of several targets the one that is written last, by the ranks of the pair."""
-    one = decided.where("decision = 'merge_b_into_a'").select("page_id", F.col("b_seg_id").alias("seg_id"), F.col("a_seg_id").alias("target_id"), "a_rank", "b_rank")
-    two = decided.where("decision = 'merge_a_into_b'").select("page_id", F.col("a_seg_id").alias("seg_id"), F.col("b_seg_id").alias("target_id"), "a_rank", "b_rank")
-    return one.unionByName(two).groupBy("page_id", "seg_id").agg(F.max_by("target_id", F.struct("a_rank", "b_rank", "target_id")).alias("target_id"))
+    into_a = F.col("decision") == "merge_b_into_a"
+    side = lambda first, second, name: F.when(into_a, F.col(first)).otherwise(F.col(second)).alias(name)
+    merged = decided.where(F.col("decision").isin("merge_b_into_a", "merge_a_into_b"))
+    pairs = merged.select("page_id", side("b_seg_id", "a_seg_id", "seg_id"), side("a_seg_id", "b_seg_id", "target_id"), "a_rank", "b_rank")
+    return pairs.groupBy("page_id", "seg_id").agg(F.max_by("target_id", F.struct("a_rank", "b_rank", "target_id")).alias("target_id"))
 
 
 def apply_merges(segments: DataFrame, decided: DataFrame) -> DataFrame:
-    """Merged segments leave, their targets' boxes grow to the joint box; outlines are joined by ``merge_outline``."""
-    targets = merge_targets(decided)
-    moved = segments.join(targets, ["page_id", "seg_id"])
-    grown = moved.groupBy("page_id", F.col("target_id").alias("seg_id")).agg(*[(F.min if c[1] == "0" else F.max)(c).alias(f"m_{c}") for c in rect.CORNERS])
-    left = segments.join(targets, ["page_id", "seg_id"], "left_anti").join(grown, ["page_id", "seg_id"], "left")
+    """Merged segments leave, their targets' boxes grow to the joint box; outlines are joined by ``merge_outline``.
+
+    Segments meet their targets once; merged ones and the segment they go to then lie in one window.
+    """
+    rows = segments.join(merge_targets(decided), ["page_id", "seg_id"], "left")
+    home, moved = W.partitionBy("page_id", F.coalesce("target_id", "seg_id")), F.col("target_id").isNotNull()
+    grown = {c: (F.min if c[1] == "0" else F.max)(F.when(moved, F.col(c))).over(home).alias(f"m_{c}") for c in rect.CORNERS}
+    left = rows.select(*segments.columns, "target_id", *grown.values()).where("target_id is null")
     return left.select(
         *[c for c in segments.columns if c not in rect.CORNERS],
         *[(F.least if c[1] == "0" else F.greatest)(c, F.coalesce(f"m_{c}", c)).alias(c) for c in rect.CORNERS],

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import rect
@@ -61,8 +64,8 @@ seg_line AS (
 """
 
 
-#: Bytes of the line items' files for which there is one partition of pages; some 300,000 to 600,000 segments.
-PART = 6 << 20
+#: Bytes of the line items' files for which there is one partition of pages; some 200,000 to 400,000 segments.
+PART = 4 << 20
 #: Suffix, condition and corners of the segments that one row of ``base`` stands for, as in seg_dt and seg_dup.
 PREDICTED = (
     ("a", "sk % 10 <> 0", "x0 + (pk % 11) - 5", "y0 + (sk % 7) - 3", "CASE WHEN pk % 5 = 0 THEN x0 + w div 2 ELSE x0 + w END", "y0 + h"),
@@ -75,10 +78,38 @@ REDUNDANT = (
 )
 
 
-def _parted(lineitem: DataFrame) -> DataFrame:
-    """Whole pages in partitions whose number grows with the input, so that no later step by page exchanges them again."""
+def _lineitem(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The line items, and how many partitions they are for."""
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     size = int(lineitem._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return lineitem.repartition(max(lineitem.sparkSession.sparkContext.defaultParallelism, -(-size // PART)), "l_orderkey")
+    return lineitem, max(spark.sparkContext.defaultParallelism, -(-size // PART))
+
+
+def _parted(lineitem: DataFrame, parts: int) -> DataFrame:
+    """Whole pages in partitions whose number grows with the input, so that no later step by page exchanges them again."""
+    return lineitem.repartition(parts, "l_orderkey")
+
+
+def sized(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query in a session of its own, with the caller's settings but for two.
+
+    Exchanges have partitions in number with the input, so that what a task holds doesn't grow with it, and rows that
+    lie together by page aren't exchanged for joins by page and more.
+    """
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = spark.newSession()
+        for key, value in spark.conf.getAll.items():
+            if own.conf.isModifiable(key):
+                own.conf.set(key, value)
+        try:
+            own.conf.set("spark.sql.shuffle.partitions", max(int(spark.conf.get("spark.sql.shuffle.partitions")), _lineitem(spark, sf_dir)[1]))
+        except AnalysisException:
+            pass  # Queries on other tables don't need line items.
+        own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        return query(own, sf_dir)
+
+    return run
 
 
 def _each(base: DataFrame, kinds: tuple) -> DataFrame:
@@ -91,7 +122,7 @@ def _each(base: DataFrame, kinds: tuple) -> DataFrame:
 
 def layout(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables of LAYOUT; segments are rectangles of whole numbers, pages are orders."""
-    lineitem = _parted(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    lineitem = _parted(*_lineitem(spark, sf_dir))
     table = lambda name: spark.sql(f"WITH {LAYOUT.replace('FROM lineitem', 'FROM {lineitem}')} SELECT * FROM {name}", lineitem=lineitem)
     if name == "seg_dt":
         return _each(table("base"), PREDICTED)

@@ -245,3 +245,23 @@ def test_f14_merged_regions_are_listed_once(spark):
     made = tr.merge_child_order(targets, ranks, lines)
     assert sorted((r.region_id, r.pos, r.line_id) for r in made.collect()) == [*(("t", k, v) for k, v in enumerate(("t0", "t1", "a0", "a1", "b0", "b1"))), *(("u", k, v) for k, v in enumerate(("t0", "t1", "u0", "u1")))]
     assert "Union" not in plan(made)
+
+
+def test_f15_segments_meet_their_targets_once(spark):
+    box = {"a": (0, 0, 4, 4), "b": (1, 1, 9, 5), "c": (2, 2, 12, 3), "d": (50, 50, 60, 60)}
+    segments = spark.createDataFrame([(1, k, "TextRegion", *b) for k, b in box.items()], "page_id long, seg_id string, seg_class string, x0 long, y0 long, x1 long, y1 long")
+    decided = spark.createDataFrame([(1, "a", "b", 1, 2, "merge_a_into_b"), (1, "b", "c", 2, 3, "merge_b_into_a"), (1, "a", "d", 1, 4, "undecided")], "page_id long, a_seg_id string, b_seg_id string, a_rank int, b_rank int, decision string")
+    made = re.apply_merges(segments, decided)
+    assert {r.seg_id: tuple(r)[3:] for r in made.collect()} == {"b": (0, 0, 12, 5), "d": (50, 50, 60, 60)}
+    assert plan(made).split("Initial Plan")[-1].count("Join [") == 1 and "Union" not in plan(re.merge_targets(decided))
+
+
+def test_f15_partitions_grow_with_the_input(spark, monkeypatch):
+    from folioscope.plans import fixtures
+    from folioscope.plans.registry import QUERIES
+
+    monkeypatch.setattr(fixtures, "PART", 1 << 12)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    made = QUERIES["apply_merges"](spark, "/root/testdata/sf0.001")
+    parts = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    assert parts > 20 and f", {parts})" in plan(made) and spark.conf.get("spark.sql.shuffle.partitions") == before
