@@ -84,10 +84,12 @@ def counts(gt: DataFrame, dt: DataFrame, matches: DataFrame, by: list[str] = KEY
     The first match of each segment stands for the segment, so distinct counts and misses are plain sums: matches,
     truths and predictions are united and aggregated once.
     """
-    g, d = W.partitionBy(*KEYS, "gt_id"), W.partitionBy(*KEYS, "dt_id")
-    m = matches.withColumn("per_gt", F.count("*").over(g)).withColumn("first_gt", F.row_number().over(g.orderBy("dt_id")) == 1)
-    m = m.withColumn("per_dt", F.count("*").over(d)).withColumn("first_dt", F.row_number().over(d.orderBy("gt_id")) == 1)
-    m = m.withColumn("split", F.max("per_gt").over(d) > 1).withColumn("joined", F.max("per_dt").over(g) > 1)
+    # All windows of a side have one order, so that a side is sorted once.
+    g, d = W.partitionBy(*KEYS, "gt_id").orderBy("dt_id"), W.partitionBy(*KEYS, "dt_id").orderBy("gt_id")
+    of_gt, of_dt = (w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing) for w in (g, d))
+    m = matches.select("*", F.count("*").over(of_gt).alias("per_gt"), (F.row_number().over(g) == 1).alias("first_gt"))
+    m = m.select("*", F.count("*").over(of_dt).alias("per_dt"), (F.row_number().over(d) == 1).alias("first_dt"), (F.max("per_gt").over(of_dt) > 1).alias("split"))
+    m = m.withColumn("joined", F.max("per_dt").over(of_gt) > 1)
     gt_first, dt_first = F.col("first_gt"), F.col("first_dt")
     count, zero = (lambda when: when.cast("long")), F.lit(0).cast("long")
     met = {

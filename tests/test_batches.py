@@ -265,3 +265,12 @@ def test_f15_partitions_grow_with_the_input(spark, monkeypatch):
     made = QUERIES["apply_merges"](spark, "/root/testdata/sf0.001")
     parts = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     assert parts > 20 and f", {parts})" in plan(made) and spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_f16_f21_matches_are_sorted_once_a_side(spark):
+    schema = "page_id long, category string, gt_id string, dt_id string, gt_area long, dt_area long, inter long, iou double, iogt double, iodt double"
+    matches = spark.createDataFrame([(1, "c", "g", d, 81, 81, 40, 0.5, 0.5, 0.5) for d in ("d", "e")] + [(1, "c", "h", "e", 81, 81, 40, 0.5, 0.5, 0.5)], schema)
+    made = ev.counts(notes(spark, (1, "g"), (1, "h")), notes(spark, (1, "d"), (1, "e"), (1, "f")), matches)
+    row = made.first()
+    assert [row[c] for c in ("n_gt", "n_dt", "n_match", "gt_met", "dt_met", "over_gt", "over_dt", "under_gt", "under_dt", "n_fp", "n_fn")] == [2, 3, 3, 2, 2, 1, 2, 2, 1, 1, 0]
+    assert plan(made).split("Initial Plan")[-1].count("- Sort [") <= 3
