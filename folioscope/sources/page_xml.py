@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 NAMESPACE = "http://schema.primaresearch.org/PAGE/gts/pagecontent/2019-07-15"
@@ -21,12 +23,20 @@ SCHEMA = (
 _FIELDS = [f.split()[0] for f in SCHEMA.split(", ")]
 
 
+@lru_cache(maxsize=1024)
+def _local(tag: str) -> str:
+    return tag.rpartition("}")[2]
+
+
 def _name(element: ET.Element) -> str:
-    return element.tag.rpartition("}")[2]
+    return _local(element.tag)
 
 
 def _child(element: ET.Element, name: str) -> ET.Element | None:
-    return next((e for e in element if _name(e) == name), None)
+    for e in element:
+        if _name(e) == name:
+            return e
+    return None
 
 
 def parse(page_id: str, text: str) -> list[tuple]:
@@ -46,7 +56,16 @@ def parse(page_id: str, text: str) -> list[tuple]:
         level = "region" if kind.endswith("Region") else LEVELS.get(kind) or ("border" if kind == "Border" else None)
         if level is None:
             continue
-        coords, equiv = _child(element, "Coords"), _child(element, "TextEquiv")
+        coords = equiv = None
+        inner = []
+        for e in element:
+            name = _name(e)
+            if name == "Coords":
+                coords = e if coords is None else coords
+            elif name == "TextEquiv":
+                equiv = e if equiv is None else equiv
+            else:
+                inner.append(e)
         unicode = _child(equiv, "Unicode") if equiv is not None else None
         conf = coords.get("conf") if coords is not None else None
         rows.append((
@@ -54,19 +73,22 @@ def parse(page_id: str, text: str) -> list[tuple]:
             coords.get("points") if coords is not None else None, float(conf) if conf else None, depth, len(rows),
             (unicode.text or "") if unicode is not None else None, None,
         ))
-        work += [(e, element.get("id"), depth + 1) for e in reversed(element)]
+        work += [(e, element.get("id"), depth + 1) for e in reversed(inner)]
     return rows or [(*head, *[None] * (len(_FIELDS) - 4))]
 
 
 def parse_documents(documents: DataFrame) -> DataFrame:
     """Segment rows of documents (page_id, xml)."""
 
-    def batches(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = {f.split()[0]: {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32()}[f.split()[1]] for f in SCHEMA.split(", ")}
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            rows = [r for k, x in zip(batch["page_id"], batch["xml"], strict=True) for r in parse(k, x or "")]
-            yield pd.DataFrame(rows, columns=_FIELDS).astype({"width": "Int64", "height": "Int64", "depth": "Int32", "pos": "Int64"})
+            rows = [r for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in parse(k, x or "")]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types.values(), strict=True)], list(types))
 
-    return documents.select(F.col("page_id").cast("string"), "xml").mapInPandas(batches, SCHEMA)
+    return documents.select(F.col("page_id").cast("string"), "xml").mapInArrow(batches, SCHEMA)
 
 
 def scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -95,7 +117,7 @@ def documents(regions: DataFrame, width: int, height: int) -> DataFrame:
         F.lit("<"), "seg_class", attribute("id", F.col("seg_id")), attribute("type", F.col("subtype")), F.lit("><Coords"),
         attribute("points", F.col("points")), attribute("conf", F.col("conf")), F.lit("/></"), "seg_class", F.lit(">"),
     )
-    listed = F.array_sort(F.collect_list(F.struct("seg_id", region.alias("xml"))))
+    listed = F.sort_array(F.collect_list(F.struct("seg_id", region.alias("xml"))))
     body = F.array_join(F.transform(listed, lambda r: r["xml"]), "")
     head = F.concat(
         F.lit(f'<?xml version="1.0" encoding="UTF-8"?><PcGts xmlns="{NAMESPACE}"><Page imageFilename="IMG_'), F.col("page_id").cast("string"),

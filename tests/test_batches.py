@@ -280,3 +280,12 @@ def test_f19_files_are_named_without_a_join(spark):
     from folioscope.plans.registry import QUERIES
 
     assert plan(QUERIES["text_attach"](spark, "/root/testdata/sf0.001")).split("Initial Plan")[-1].count("Join [") == 1
+
+
+def test_f20_documents_without_segments_and_unread_ones(spark):
+    from folioscope.sources import page_xml
+
+    rows = spark.createDataFrame([(1, "<PcGts><Page>"), (2, None), (3, '<PcGts><Page imageWidth="5"><TextRegion id="r"><Unknown/><Coords points="1,1"/><Coords points="2,2"/></TextRegion></Page></PcGts>'), (4, "<PcGts><Page/></PcGts>")], "page_id long, xml string")
+    found = {r.page_id: r for r in page_xml.parse_documents(rows).collect()}
+    assert [bool(found[k].error) for k in "1234"] == [True, True, False, False]
+    assert (found["3"].points, found["3"].width, found["3"].pos, found["4"].seg_id, page_xml._local.cache_info().maxsize) == ("1,1", 5, 0, None, 1024)
